@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, substring, url_filter, warc
+from . import ann, bpe, jaccard, packing, quality, substring, topk, url_filter, warc
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -40,6 +40,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 50, by all its words."""
+    docs = table(spark, sf_dir, "documents")
+    return topk.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_nearest": op5_nearest,
+    "op6_top_k": op6_top_k,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
