@@ -29,10 +29,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 def changed(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of new that old lacks; null equals null."""
+    other = old.toDF(*(f"old_{c}" for c in old.columns))  # names of its own, whatever frames the two share
     on = F.lit(True)
-    for c in new.columns:
-        on = on & new[c].eqNullSafe(old[c])
-    return new.join(old, on, "left_anti")
+    for c, o in zip(new.columns, other.columns, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(o))
+    return new.join(other, on, "left_anti")
 
 
 def is_doubling(rules: list[Rule], name: str) -> bool:
