@@ -3,7 +3,7 @@
 Equal sets are one set. Under one order of all shingles, two sets whose Jaccard
 similarity reaches the threshold share a shingle in their prefixes. Sets with
 the same prefix and size make a group, which has its prefix's shingles once.
-First every group is compared with one hub in each of its shingles' lists, and
+First groups are compared with one hub in each of its shingles' lists, and
 the members of a group with its first: families of near copies are linked so in
 linear time. Then groups are expanded: for every shingle, members outside the
 component that most have are compared with all members of other components.
@@ -106,7 +106,10 @@ def _prefixes(texts: DataFrame, n: int, percent: int, weights) -> DataFrame:
 
 
 def _arrays(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """The whole shingle sets of wanted nodes (rep), and maybe some others: a filter of fixed size passes documents."""
+    """The whole shingle sets of wanted documents (rep); a filter of fixed size passes these and few others.
+
+    Rows that share an id each bring theirs: pairs are then compared for all.
+    """
     bit = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
     rows = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
@@ -122,17 +125,31 @@ def _arrays(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             for part in slices([batch], 1):
                 sets = shingle_sets(part.column(1), n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), type=pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_ids(sets)), lists], ["rep", "set_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["rep", "shingles"])
+
+    return flagged.select("doc", "text", "bit").mapInArrow(run, "rep long, shingles array<long>").join(wanted, "rep", "left_semi")
 
-    got = flagged.select("doc", "text", "bit").mapInArrow(run, "rep long, set_id long, shingles array<long>")
-    return got.join(wanted, ["rep", "set_id"], "left_semi").dropDuplicates(["rep"])
+
+def _may_link(percent: int):
+    """Whether sets of sizes na and nb with c shingles common to their prefixes can reach the threshold.
+
+    Of the two take the one whose prefix ends first in the order: what they
+    share is in both prefixes or behind its prefix.
+    """
+    behind = lambda size: F.col(size) - (F.col(size) - F.ceil(F.col(size) * percent / F.lit(100)) + 1)
+    most = F.col("c") + F.greatest(behind("na"), behind("nb"))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
 
 
-def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def _linked(texts: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets' similarity reaches the threshold, counted exactly."""
+    pairs = scratch(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    arrays = scratch(_arrays(texts, n, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "arrays")
     one = arrays.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     two = arrays.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    both = scratch(pairs, "pairs").join(one, "b").join(two, "a").select("a", "b", "sa", "sb")
+    both = pairs.join(one, "b").join(two, "a").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -144,7 +161,7 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
 
-    return scratch(both.mapInArrow(run, "a long, b long"), "links")
+    return scratch(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -162,13 +179,13 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(_weights(scan))  # one megabyte, by SKETCH_BITS
     found = _prefixes(texts, n, percent, weights).where("size > 0")
     sets = scratch(found.groupBy("size", "set_id").agg(F.min("doc").alias("rep"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")), "sets")
-    tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.min("rep").alias("hub")).where("members > 1")
-    lists = scratch(tokens.join(shared, "token").select("token", "grp", "rep", "hub"), "lists")
-    members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep", "size", "set_id"), "grp").select("grp", "first", "rep", "size", "set_id"), "members")
-    arrays = scratch(_arrays(texts, n, members.select("rep", "set_id")), "arrays")
-    stars = lists.select(F.col("hub").alias("a"), F.col("rep").alias("b")).union(members.select(F.col("first").alias("a"), F.col("rep").alias("b"))).where("a <> b").distinct()
-    links = _linked(stars, arrays, percent)
+    tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "size", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.sum("n").alias("members"), F.min(F.struct("rep", "size")).alias("hub")).where("members > 1").drop("members")
+    lists = scratch(tokens.join(shared, "token").select("token", "grp", "rep", "size", "hub"), "lists")
+    members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep", "size"), "grp").select("grp", "first", "rep", "size"), "members")
+    stars = lists.where("rep <> hub.rep").groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")).agg(F.count("*").alias("c")).where(_may_link(percent)).select("a", "b")
+    inner = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    links = _linked(texts, n, stars.union(inner), percent)
     first = scratch(connected(links), "components")
     placed = members.join(first, members["rep"] == first["node"], "left").select("grp", "rep", "size", F.coalesce("component", "rep").alias("c"))
     rows = scratch(lists.select("token", "grp").join(scratch(placed, "placed"), "grp").select("token", "rep", "size", "c"), "rows")
@@ -176,10 +193,12 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     most = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     open_rows = scratch(rows.join(scratch(most, "most").select("token", "most"), "token"), "open")
     x = open_rows.where("c <> most").select("token", F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    y = open_rows.select("token", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"))
-    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    rest = x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _linked(rest, arrays, percent)
+    y = open_rows.select("token", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "most")
+    # Each pair once for each shingle of both prefixes.
+    fits = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    rest = x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("na"), F.greatest("nx", "ny").alias("nb"))
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_may_link(percent)).select("a", "b")
+    more = _linked(texts, n, rest, percent)
     joined = links.union(more).union(_same_document(scan))
     label = scratch(connected(joined), "components")
     own = scan.where("size >= 0").join(sets.select("size", "set_id", "rep"), ["size", "set_id"], "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"))
