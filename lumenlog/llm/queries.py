@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, jaccard, packing, quality, substring, topk, url_filter, warc
+from . import ann, bpe, html_extract, jaccard, packing, quality, substring, topk, url_filter, warc
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -32,6 +32,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_nearest": op5_nearest,
