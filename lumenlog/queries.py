@@ -128,7 +128,7 @@ _simple("unreachable", "nation", "a: number", _EDGES + "r(A) :- nation(A, _, _),
 _simple("same_generation", "nation", "a: number, b: number", "p(A, A / 2) :- nation(A, _, _), A > 0.\nq(A, B) :- p(A, P), p(B, P), A != B.\nq(A, B) :- p(A, X), q(X, Y), p(B, Y).", "WITH RECURSIVE p AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey // 2)::BIGINT AS p FROM nation WHERE n_nationkey > 0), t AS (SELECT x.a, y.a AS b FROM p x JOIN p y USING (p) WHERE x.a <> y.a UNION SELECT x.a, y.a FROM t JOIN p x ON x.p = t.a JOIN p y ON y.p = t.b) SELECT a, b FROM t")
 _simple("mutual_even_odd", "nation", "a: number, k: number", _EDGES + "even(A) :- nation(A, _, _), A = 1.\nodd(B) :- even(A), e(A, B).\neven(B) :- odd(A), e(A, B).\nq(A, 0) :- even(A).\nq(A, 1) :- odd(A).", f"WITH RECURSIVE {_ESQL}, t AS (SELECT 1::BIGINT AS a, 0::BIGINT AS k UNION SELECT e.b, 1 - k FROM t JOIN e ON t.a = e.a) SELECT a, k FROM t")
 _simple("bounded_tc", "nation", "a: number, b: number, n: number", _EDGES + "q(A, B, 1) :- e(A, B).\nq(A, C, N + 1) :- q(A, B, N), e(B, C), N < 3.", f"WITH RECURSIVE {_ESQL}, t AS (SELECT a, b, 1::BIGINT AS n FROM e UNION SELECT t.a, e.b, n + 1 FROM t JOIN e ON t.b = e.a WHERE n < 3) SELECT a, b, n FROM t")
-_simple("dyck", "nation", "a: number, b: number", "o(A, A * 2 % 25) :- nation(A, _, _).\nc(A, A * 3 % 25) :- nation(A, _, _).\nq(A, B) :- o(A, M), c(M, B).\nq(A, B) :- o(A, M), q(M, N), c(N, B).\nq(A, B) :- q(A, M), q(M, B).", "WITH RECURSIVE o AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b FROM nation), c AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 3 % 25)::BIGINT AS b FROM nation), w AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b, 0 AS d, 0 AS n FROM nation UNION SELECT w.a, o.b, d + 1, 1 FROM w JOIN o ON w.b = o.a WHERE d < 25 UNION SELECT w.a, c.b, d - 1, 1 FROM w JOIN c ON w.b = c.a WHERE d > 0) SELECT DISTINCT a, b FROM w WHERE d = 0 AND n = 1")
+_simple("dyck", "nation", "a: number, b: number", "o(A, A * 2 % 25) :- nation(A, _, _).\nc(A, A * 3 % 25) :- nation(A, _, _).\nq(A, B) :- o(A, M), c(M, B).\nq(A, B) :- o(A, M), q(M, N), c(N, B).\nq(A, B) :- q(A, M), q(M, B).", "WITH RECURSIVE o AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b FROM nation), c AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 3 % 25)::BIGINT AS b FROM nation), w AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b, 0 AS d, 0 AS n FROM nation UNION SELECT w.a, x.b, d + s, 1 FROM w JOIN (SELECT a, b, 1 AS s FROM o UNION ALL SELECT a, b, -1 FROM c) x ON w.b = x.a WHERE d + s BETWEEN 0 AND 60) SELECT DISTINCT a, b FROM w WHERE d = 0 AND n = 1")
 _simple("cc_min", "nation", "a: number, c: number", "e(A, B) :- nation(A, _, R), nation(B, _, R).\nq(A, min(A)) :- nation(A, _, _).\nq(B, min(C)) :- q(A, C), e(A, B).", "SELECT n_nationkey::BIGINT AS a, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS c FROM nation")
 _simple("sssp_merge", "nation", "a: number, d: number", "e(A, A * 2 % 25, A + 1) :- nation(A, _, _).\ne(A, A * 3 % 25, 2) :- nation(A, _, _).\nq(A, 0) :- nation(A, _, _), A = 1.\nq(B, D + W) :- q(A, D), e(A, B, W).", "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b, (n_nationkey + 1)::BIGINT AS w FROM nation UNION SELECT n_nationkey, n_nationkey * 3 % 25, 2 FROM nation), t AS (SELECT 1::BIGINT AS a, 0::BIGINT AS d UNION SELECT e.b, d + w FROM t JOIN e ON t.a = e.a WHERE d + w < 120) SELECT a, min(d) AS d FROM t GROUP BY 1")
 PROGRAMS["sssp_merge"] = (PROGRAMS["sssp_merge"][0].replace(".decl q(a: number, d: number)", ".decl q(a: number, d: number) merge(min)"), PROGRAMS["sssp_merge"][1])
@@ -168,7 +168,7 @@ _simple("fn_case", "nation", "a: string, b: string", "q(to_lower(N), to_upper(N)
 _simple("fn_round_floor", "customer", "k: number, a: number, b: number", "q(K, round(B), floor(B)) :- customer(K, _, _, B, _).", "SELECT c_custkey AS k, round(c_acctbal)::BIGINT AS a, floor(c_acctbal)::BIGINT AS b FROM customer")
 _simple("fn_float_math", "part", "k: number, a: float, b: float, c: float", "q(K, ln(to_float(S)), sqrt(P), pow(to_float(S), 2.0)) :- part(K, _, _, _, S, P).", "SELECT p_partkey AS k, ln(p_size::DOUBLE) AS a, sqrt(p_retailprice) AS b, pow(p_size::DOUBLE, 2.0) AS c FROM part")
 _simple("fn_abs", "customer", "k: number, a: number, b: float", "q(K, abs(5 - K), abs(B)) :- customer(K, _, _, B, _).", "SELECT c_custkey AS k, abs(5 - c_custkey) AS a, abs(c_acctbal) AS b FROM customer")
-_simple("fn_similarity", "nation", "a: string, s: number", 'q(N, similarity(N, "UNITED NATIONS")) :- nation(_, N, _).', "WITH g AS (SELECT n_name AS s, unnest(list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))) AS g FROM nation), c AS (SELECT s, g, count(*) AS k FROM g GROUP BY ALL), t AS (SELECT g, count(*) AS k FROM (SELECT unnest(list_transform(range(1, 14), lambda i: substr('UNITED NATIONS', i, 2))) AS g) GROUP BY 1) SELECT c.s AS a, (200 * sum(coalesce(least(c.k, t.k), 0)) // (sum(c.k) + 13))::BIGINT AS s FROM c LEFT JOIN t USING (g) GROUP BY 1")
+_simple("fn_similarity", "nation", "a: string, s: number", 'q(N, similarity(N, "UNITED NATIONS")) :- nation(_, N, _).', "WITH g AS (SELECT n_name AS s, unnest(list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))) AS g FROM nation), c AS (SELECT s, g, count(*) AS k FROM g GROUP BY ALL), t AS (SELECT g, count(*) AS k FROM (SELECT unnest(list_transform(range(1, 14), lambda i: substr('UNITED NATIONS', i, 2))) AS g) GROUP BY 1) SELECT c.s AS a, (200 * sum(CASE WHEN t.k IS NULL THEN 0 ELSE least(c.k, t.k) END) // (sum(c.k) + 13))::BIGINT AS s FROM c LEFT JOIN t USING (g) GROUP BY 1")
 _simple("fn_date_epoch", "nation", "k: number, v: number, w: number", 'q(K, date_epoch(concat("2024-02-", concat("1", "5T10:20:30Z"))) + K, date_epoch("2024-13-01")) :- nation(K, _, _).', "SELECT n_nationkey::BIGINT AS k, epoch(TIMESTAMP '2024-02-15 10:20:30')::BIGINT + n_nationkey AS v, NULL::BIGINT AS w FROM nation")
 _simple("deadline_window", "orders", "o: number", 'q(O) :- orders(O, _, _, _, D, _), D >= date_epoch("1995-01-01"), D < date_epoch("1996-01-01T00:00:00").', "SELECT o_orderkey AS o FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 
