@@ -11,7 +11,9 @@ Pairs within a component needn't be compared, as no link between them changes
 the components; so all links between components are found.
 
 The order of shingles is by hash, but those from the heaviest buckets of a
-count sketch over all shingles come last. Any order gives the same result.
+count sketch over all shingles come last, and so do those that turn out to be in
+many prefixes, in a few rounds. Any order gives the same result; this one keeps
+the lists of documents that just share a passage short.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from .textbytes import LOWER, mixed, slices, span_hashes, text_bytes, words
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of the sketch and bits of the filter: fixed sizes of a few megabytes, whatever the corpus.
-SKETCH_BITS, FILTER_BITS = 20, 23
+SKETCH_BITS, ORDER_BITS, FILTER_BITS = 20, 24, 23
+#: A shingle in more prefixes than this is moved back, in so many rounds at most.
+CROWD, ROUNDS = 12, 2
 _LAST = 2**63 - 1  # stands for a null id
 
 
@@ -85,7 +89,23 @@ def _weights(scan: DataFrame) -> np.ndarray:
     found = marks.select(F.explode("heavy").alias("x")).groupBy(F.shiftright("x", 32).alias("b")).agg(F.sum(F.col("x").bitwiseAND(0xFFFFFFFF)).alias("c")).where(F.col("c") >= 2 * mean).toArrow()  # rows: sketch buckets
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     out[found.column("b").to_numpy()] = np.log2(found.column("c").to_numpy() / mean).astype(np.uint8)
-    return out
+    return np.repeat(out, 1 << (ORDER_BITS - SKETCH_BITS))
+
+
+def _moved_back(texts: DataFrame, n: int, percent: int, weights: np.ndarray) -> np.ndarray:
+    """Weights by which shingles that crowd prefixes come later, by how many prefixes have them."""
+    for _ in range(ROUNDS):
+        held = texts.sparkSession.sparkContext.broadcast(weights)
+        tokens = _prefixes(texts, n, percent, held).select(F.explode("prefix").alias("token"))
+        crowded = tokens.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > CROWD)
+        rows = crowded.groupBy(F.shiftrightunsigned("token", 64 - ORDER_BITS).alias("b")).agg(F.max("k").alias("k")).toArrow()  # rows: buckets of the order
+        held.destroy()
+        at, k = rows.column("b").to_numpy(), rows.column("k").to_numpy()
+        later = np.maximum(weights[at], (2 + np.log2(k / CROWD)).astype(np.uint8))
+        if (later == weights[at]).all():
+            break
+        weights[at] = later
+    return weights
 
 
 def _prefixes(texts: DataFrame, n: int, percent: int, weights) -> DataFrame:
@@ -95,7 +115,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int, weights) -> DataFrame:
             sets = shingle_sets(batch.column(1), n)
             prefixes = []
             for s in sets:
-                weight = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                weight = table[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 keep = prefix_length(len(s), percent)
                 prefixes.append(s[np.argsort(weight, kind="stable")[:keep]] if weight.any() else s[:keep])
             groups = np.array([mixed(np.array([mixed(p).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] for p, s in zip(prefixes, sets, strict=True)], dtype=np.uint64).view(np.int64)
@@ -176,7 +196,7 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     need(docs, "doc_id", "text")
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), text_or_empty().alias("text"))
     scan = _scan(texts, n)
-    weights = docs.sparkSession.sparkContext.broadcast(_weights(scan))  # one megabyte, by SKETCH_BITS
+    weights = docs.sparkSession.sparkContext.broadcast(_moved_back(texts, n, percent, _weights(scan)))  # sixteen megabytes, by ORDER_BITS
     found = _prefixes(texts, n, percent, weights).where("size > 0")
     sets = scratch(found.groupBy("size", "set_id").agg(F.min("doc").alias("rep"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")), "sets")
     tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "size", "n", F.explode("prefix").alias("token"))
