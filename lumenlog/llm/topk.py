@@ -98,7 +98,7 @@ class Segment:
         first, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
         ends = np.cumsum(size)
         post = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        bound = np.bincount(self.post_doc[post], np.repeat(w[row < 0], size) * self.post_part[post], minlength=len(self.docs))
+        bound = np.bincount(self.post_doc[post], np.repeat(w[row < 0], size) * self.post_part[post], minlength=len(self.docs)).astype(np.float64)
         bound += ((w[often, None] * self.block_part[row[often]]).sum(axis=0) * (1 + 1e-9))[self.block_of]
         best: list[tuple[float, int, int]] = []
         take, left = 4 * k, np.flatnonzero(bound > 0)

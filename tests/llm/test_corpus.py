@@ -197,3 +197,10 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert [i for _, i, _ in sorted(got[120])[:3]] == [i for i in np.lexsort((np.arange(3000), -(x @ x[120]).round(10))) if i != 120][:3]
     assert ann.nearest(table.limit(0)).count() == 0
     assert ann.nearest(spark.createDataFrame(rows[:5], table.schema)).count() == 4
+
+
+def test_a_query_of_frequent_words_only():
+    made = topk.build(np.arange(300), np.tile(np.array([5, 9], np.uint64), 300), np.arange(0, 601, 2))
+    s = topk.Segment({k: made[k].astype(kind).tobytes() for k, kind in topk._FIELDS.items()})
+    s.prepare(2.0)
+    assert [n for _, n in s.search(np.array([5], np.uint64), np.array([1.0]), 3)] == [0, 1, 2]
