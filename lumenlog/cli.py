@@ -48,7 +48,6 @@ def do_run(args: argparse.Namespace) -> int:
     from .serve.state import Service
     from .sources.sinks import change_lines, print_sizes, write_csv
     from .streaming.changes import difference
-    from .streaming.epoch import Maintained
 
     builder = SparkSession.builder.appName("lumenlog").config("spark.sql.session.timeZone", "UTC")
     spark = (builder.master(f"local[{args.workers}]") if args.workers else builder).getOrCreate()
@@ -65,21 +64,7 @@ def do_run(args: argparse.Namespace) -> int:
         done = {n: df for n, df in engine.evaluate(facts=args.facts, delimiter=args.delimiter).items() if n in served(engine.program)}
         print_sizes(done) if not args.out else write_csv(done, args.out)
         return 0
-    base = Maintained(spark, engine.typed, engine.rounds)
-    sources = engine.sources()
-    wanted = engine.program.inputs
-
-    def poll(first: bool) -> dict:
-        found: dict = {}
-        for source, relation in sources:
-            if first or not source.static:
-                names = {relation: wanted[relation]} if relation else wanted
-                for name, df in source.changes(spark, names).items():
-                    name = relation or name
-                    if name in wanted and (first or not df.isEmpty()):
-                        found[name] = df
-        return found
-
+    listeners: list = []
     if args.print:
         last: dict = {}
 
@@ -91,15 +76,14 @@ def do_run(args: argparse.Namespace) -> int:
                         print(line, flush=True)
                     last[n] = frames[n]
 
-        base.listeners.append(tell)
-    base.advance(poll(True))
-    roots = tuple(s.config["root"] for s, _ in sources if "root" in s.config)
+        listeners.append(tell)
+    base = engine.run(listeners)
+    roots = tuple(s.config["root"] for s, _ in engine.sources() if "root" in s.config)
     server = None if args.no_serve else serve(Service(base, engine.program, not args.no_publish, roots, args.program), args.addr)
     try:
         while True:
             time.sleep(args.interval)
-            if changes := poll(False):
-                base.advance(changes)
+            engine.poll()
     except KeyboardInterrupt:
         return 0
     finally:

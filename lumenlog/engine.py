@@ -316,6 +316,45 @@ class Engine:
         return presented(self.evaluate(inputs, wanted=[relation])[relation], decl)
 
 
+    # Maintained results.
+
+    def run(self, listeners: Iterable = ()):
+        """Start maintaining the program over its sources and bound tables; returns the maintained state. poll() takes in what changed.
+
+        Listeners get (epoch, frames, relations that changed) after each epoch.
+        """
+        from .streaming.epoch import Maintained
+        from .streaming.live import LiveQueries
+
+        self.maintained = Maintained(self.spark, self.typed, self.rounds, self.bag_arguments)
+        self.maintained.listeners += listeners
+        self.live_queries = LiveQueries(self.maintained)
+        self._running = self.sources()
+        self.maintained.advance({**self._changes(True), **self.tables})
+        return self.maintained
+
+    def poll(self) -> set[str]:
+        """Look at the sources again and seal what changed as an epoch; the relations that changed."""
+        changes = self._changes(False)
+        return self.maintained.advance(changes) if changes else set()
+
+    def state(self, relation: str) -> DataFrame:
+        """A relation of the maintained program, as it is served."""
+        return presented(self.maintained.relation(relation), self.program.decls[relation])
+
+    def _changes(self, first: bool) -> dict[str, DataFrame]:
+        found: dict[str, DataFrame] = {}
+        read = {a.relation for r in self.program.rules for a in r.atoms} | set(served(self.program))
+        wanted = {n: d for n, d in self.program.inputs.items() if n in read}
+        for source, relation in self._running:
+            if first or not source.static:
+                for name, df in source.changes(self.spark, {relation: self.program.decls[relation]} if relation else wanted).items():
+                    name = relation or name
+                    if name in wanted and (first or not df.isEmpty()):
+                        found[name] = found[name].unionByName(df) if name in found else df
+        return found
+
+
 def run_program(spark: SparkSession, text: str, inputs: dict[str, DataFrame], relation: str, **options) -> DataFrame:
     """The relation that a program derives from these inputs."""
     engine = Engine(spark, **options)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.ast import Decl
+from ..operators.fixpoint import settled
 
 DIFF = "__diff"
 
@@ -39,7 +40,7 @@ class Source:
 
     def changes(self, spark: SparkSession, wanted: dict[str, Decl]) -> dict[str, DataFrame]:
         """Rows with __diff 1 or -1 since the last look; the first look inserts all."""
-        now = {n: df.persist() for n, df in self.batch(spark, wanted).items()}
+        now = {n: settled(df) for n, df in self.batch(spark, wanted).items()}  # written: the source itself may change
         out = {}
         for name, df in now.items():
             old = self._last.get(name)

@@ -122,3 +122,19 @@ def test_cli(tmp_path, capsys):
     assert parse_source("e=csv:path=a.csv;types=number,number") == ("e", "csv", {"path": "a.csv", "types": "number,number"})
     assert main(["query", "--addr", "127.0.0.1:1"]) == 1
     assert "strata" in capsys.readouterr().out
+
+
+def test_an_engine_follows_its_sources(spark, tmp_path):
+    from lumenlog.engine import Engine
+
+    path = tmp_path / "e.csv"
+    path.write_text("x,y\n1,2\n2,3\n")
+    engine = Engine(spark).load_text(f'.source e = csv(path = "{path}")\n' + TEXT)
+    seen = []
+    engine.run([lambda epoch, frames, dirty: seen.append((epoch, sorted(dirty)))])
+    assert {tuple(r) for r in engine.state("n").collect()} == {(1, 2), (2, 1)}
+    assert engine.poll() == set()
+    path.write_text("x,y\n1,2\n")
+    assert "t" in engine.poll()
+    assert {tuple(r) for r in engine.state("n").collect()} == {(1, 1)}
+    assert seen[0][0] == 0 and len(seen) == 2
