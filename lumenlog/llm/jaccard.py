@@ -31,7 +31,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of the sketch and bits of the filter: fixed sizes of a few megabytes, whatever the corpus.
 SKETCH_BITS, ORDER_BITS, FILTER_BITS = 20, 24, 23
 #: A shingle in more prefixes than this is moved back, in so many rounds at most.
-CROWD, ROUNDS = 12, 2
+CROWD, ROUNDS = 12, 1
 _LAST = 2**63 - 1  # stands for a null id
 
 
@@ -199,25 +199,29 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(_moved_back(texts, n, percent, _weights(scan)))  # sixteen megabytes, by ORDER_BITS
     found = _prefixes(texts, n, percent, weights).where("size > 0")
     sets = scratch(found.groupBy("size", "set_id").agg(F.min("doc").alias("rep"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")), "sets")
-    tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "size", "n", F.explode("prefix").alias("token"))
+    tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "size", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.sum("n").alias("members"), F.min(F.struct("rep", "size")).alias("hub")).where("members > 1").drop("members")
-    lists = scratch(tokens.join(shared, "token").select("token", "grp", "rep", "size", "hub"), "lists")
+    lists = scratch(tokens.join(shared, "token").select("token", "pos", "grp", "rep", "size", "hub"), "lists")
     members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep", "size"), "grp").select("grp", "first", "rep", "size"), "members")
     stars = lists.where("rep <> hub.rep").groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")).agg(F.count("*").alias("c")).where(_may_link(percent)).select("a", "b")
     inner = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     links = _linked(texts, n, stars.union(inner), percent)
     first = scratch(connected(links), "components")
     placed = members.join(first, members["rep"] == first["node"], "left").select("grp", "rep", "size", F.coalesce("component", "rep").alias("c"))
-    rows = scratch(lists.select("token", "grp").join(scratch(placed, "placed"), "grp").select("token", "rep", "size", "c"), "rows")
+    rows = scratch(lists.select("token", "pos", "grp").join(scratch(placed, "placed"), "grp").select("token", "pos", "rep", "size", "c"), "rows")
     by = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
     most = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     open_rows = scratch(rows.join(scratch(most, "most").select("token", "most"), "token"), "open")
-    x = open_rows.where("c <> most").select("token", F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    y = open_rows.select("token", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "most")
-    # Each pair once for each shingle of both prefixes.
+    x = open_rows.where("c <> most").select("token", F.col("pos").alias("i"), F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
+    y = open_rows.select("token", F.col("pos").alias("j"), F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "most")
     fits = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    rest = x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("na"), F.greatest("nx", "ny").alias("nb"))
-    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_may_link(percent)).select("a", "b")
+    # At the first shingle that two sets share, what is behind it in either is all that they can share.
+    fits = fits & (F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
+    met = scratch(x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
+    one = sets.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("pb"))
+    two = sets.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("pa"))
+    counted = met.join(one, "b").join(two, "a").withColumn("c", F.size(F.array_intersect("pa", "pb")))
+    rest = counted.where(_may_link(percent)).select("a", "b").distinct()
     more = _linked(texts, n, rest, percent)
     joined = links.union(more).union(_same_document(scan))
     label = scratch(connected(joined), "components")
