@@ -5,7 +5,8 @@ is smallest among the places up to REACH bytes on either side. Cuts depend on
 nearby bytes only, so an insertion shifts chunks but doesn't change those
 beyond it. A chunk is known by its digest; of equal chunks the first, by doc_id
 and place, owns the text, and the others are repeats. Neighbouring repeats make
-a run, and runs of at least min_bytes are taken out of the text. Text that just
+a run, and runs of at least min_bytes are taken out of the text, but for words of
+up to WORD bytes that lie across their ends. Text that just
 repeats a few letters, with a period of less than REACH bytes, has no cut within.
 """
 
@@ -20,6 +21,8 @@ from .common import need, text_or_empty
 from .textbytes import PAD, mixed, slices, span_hashes, text_bytes
 
 WINDOW, REACH = 16, 28
+#: How far a removed span's ends give way to a word.
+WORD = 24
 #: Zeros between texts, so that no text's cuts depend on its neighbours.
 _GAP = WINDOW + REACH
 #: The gear table: a random word for each byte but 0.
@@ -85,14 +88,28 @@ def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b - a >= least]
 
 
+def trimmed(text: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """These spans of the text, shrunk to whole words where words of up to WORD bytes lie across their ends.
+
+    Where no white space is met within WORD bytes, as in text without spaces,
+    the span keeps its end, which is between characters.
+    """
+    between = lambda i: text[i - 1 : i].isspace() or text[i : i + 1].isspace()
+    out = []
+    for a, b in cut:
+        if a > 0:
+            a = next((i for i in range(a, min(a + WORD, b) + 1) if between(i)), a)
+        if b < len(text):
+            b = next((i for i in range(b, max(b - WORD, a) - 1, -1) if between(i)), b)
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
-    """The text without these spans, which shrink to whole words where words lie across their ends."""
+    """The text without these spans."""
     kept, at = [], 0
     for a, b in cut:
-        while 0 < a < b and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace():
-            a += 1
-        while b < len(text) and b > a and not text[b - 1 : b].isspace() and not text[b : b + 1].isspace():
-            b -= 1
         kept.append(text[at:a])
         at = b
     return b"".join([*kept, text[at:]])
@@ -120,6 +137,8 @@ def dedup(docs: DataFrame, min_bytes: int = 64, extra: list[str] = ()) -> DataFr
     in them isn't a repeat, and what is cut there is cut in all. Null ids are
     one such document, after all others. An empty table gives no rows.
 
+    removed_spans: what was taken out, in bytes of the text's UTF-8.
+
     Two shuffles by digest (of counts, combined before, then of chunks against
     the repeated digests, a join that Spark splits where a passage is in a third
     of all texts) and one of the texts by doc_id. A document's spans are at most
@@ -143,7 +162,7 @@ def dedup(docs: DataFrame, min_bytes: int = 64, extra: list[str] = ()) -> DataFr
                 cut = runs([(s["start"], s["stop"]) for s in found.as_py()], min_bytes) if found.is_valid else []
                 if cut and text.is_valid:
                     raw = text.as_py().encode()
-                    cut = [(a, min(b, len(raw))) for a, b in cut if a < len(raw)]
+                    cut = trimmed(raw, [(a, min(b, len(raw))) for a, b in cut if a < len(raw)])
                     new = without(raw, cut)
                     out.append(new.decode(errors="ignore"))
                     gone.append(len(raw) - len(new))

@@ -109,6 +109,31 @@ def test_repeated_passages_go_once(spark):
     assert substring.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_passages_in_text_without_spaces(spark):
+    rng = random.Random(21)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    code = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows = []
+    for k, make in enumerate((han, code)):
+        passage = make(600)
+        rows += [(10 * k + i, make(200) + passage + make(200)) for i in range(4)]
+        rows.append((10 * k + 5, rows[-1][1][:-1] + make(1)))  # a copy but for its end
+    one_space = code(300) + " " + code(300)
+    rows += [(30 + i, code(200) + one_space + code(200)) for i in range(3)]
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        whole = len(text.encode())
+        gone = got[i].removed_bytes
+        assert len(got[i].text.encode()) == whole - gone and "\ufffd" not in got[i].text
+        assert sum(s.stop - s.start for s in got[i].removed_spans) == gone
+        if i % 10 == 0:
+            assert gone == 0
+        elif i % 10 == 5:
+            assert gone > 0.8 * whole
+        else:
+            assert gone >= (1500 if i < 10 else 400)
+
+
 def test_ordinal_regression_orders_grades():
     rng = np.random.default_rng(2)
     x = rng.normal(size=900)
