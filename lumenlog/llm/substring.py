@@ -6,8 +6,9 @@ nearby bytes only, so an insertion shifts chunks but doesn't change those
 beyond it. A chunk is known by its digest; of equal chunks the first, by doc_id
 and place, owns the text, and the others are repeats. Neighbouring repeats make
 a run, and runs of at least min_bytes are taken out of the text, but for words of
-up to WORD bytes that lie across their ends. Text that just
-repeats a few letters, with a period of less than REACH bytes, has no cut within.
+up to WORD bytes that lie across their ends. In text with a period of up to REACH
+bytes equally small hashes recur; such a stretch is cut at its first and last of
+them, and between these about every STRETCH bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import need, text_or_empty
 from .textbytes import PAD, mixed, slices, span_hashes, text_bytes
 
 WINDOW, REACH = 16, 28
+#: Bytes of a chunk within a stretch of a short period.
+STRETCH = 56
 #: How far a removed span's ends give way to a word.
 WORD = 24
 #: Zeros between texts, so that no text's cuts depend on its neighbours.
@@ -51,6 +54,23 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def chain_cuts(low: np.ndarray) -> np.ndarray:
+    """Those of the places with the smallest hash around that cut.
+
+    Places within REACH of each other have the same hash and are a chain, as in
+    text with a short period. It is cut at its first and last place and about
+    every STRETCH bytes from the first, so it has the same few chunks wherever
+    it stands.
+    """
+    if not len(low):
+        return low
+    fresh = np.concatenate([[True], np.diff(low) > REACH])
+    first = low[fresh][np.cumsum(fresh) - 1]
+    part = (low - first) // STRETCH
+    last = np.concatenate([fresh[1:], [True]])
+    return low[fresh | last | np.concatenate([[True], part[1:] != part[:-1]])]
+
+
 def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each chunk's text, start and end there, and digests; then the texts' bytes and bounds aren't needed any more."""
     body, bounds = text_bytes(texts)
@@ -63,11 +83,12 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     outside = np.ones(len(spread), dtype=bool)
     outside[place] = False
     h[outside | ((spread & 0xC0) == 0x80)] = _NONE  # no cut within a character
+    del place, outside
     left = window_min(h, REACH + 1)
-    before = np.concatenate([[_NONE], window_min(h, REACH)[:-1]])
     right = np.full(len(h), _NONE, dtype=np.uint32)
     right[:-REACH] = left[REACH:]
-    cuts = np.flatnonzero((h < before) & (h <= right) & (h != _NONE))
+    cuts = chain_cuts(np.flatnonzero((h == left) & (h <= right) & (h != _NONE)))
+    del h, left, right
     firsts = (bounds[:-1] + shift)[sizes > 0]
     starts = np.unique(np.concatenate([cuts, firsts]))
     which = np.searchsorted(bounds[:-1] + shift, starts, side="right") - 1

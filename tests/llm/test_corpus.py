@@ -134,6 +134,29 @@ def test_repeated_passages_in_text_without_spaces(spark):
             assert gone >= (1500 if i < 10 else 400)
 
 
+def test_repeated_short_lines(spark):
+    rng = random.Random(23)
+    lines = ["buy now! ", "- one more item\n", "a line of 28 bytes it is ok\n", "x"]
+    assert len(lines[2]) == substring.REACH
+    rows, often = [], {}
+    for k, line in enumerate(lines):
+        stretch = line * (400 // len(line) + 1)
+        rows += [(10 * k + i, f"{prose(rng, 40)} {stretch} {prose(rng, 40)}") for i in range(5)]
+        often[10 * k + 9] = f"{prose(rng, 40)} {line * 1000} {prose(rng, 40)}"
+        which, start, end, *_ = substring.chunks(pa.array([often[10 * k + 9]]))
+        assert (end - start).max() < 400
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame([*rows, *often.items()], "doc_id long, text string")).collect()}
+    for i, text in rows:
+        if i % 10:
+            assert got[i].removed_bytes >= 280 and got[i].text[:200] == text[:200] and got[i].text[-150:] == text[-150:]
+        else:
+            assert got[i].removed_bytes <= 400
+    for i, text in often.items():
+        assert len(text) - got[i].removed_bytes < 900
+    alone = substring.dedup(spark.createDataFrame([(1, often[9])], "doc_id long, text string")).first()
+    assert len(alone.text) < 1000 and "buy now! buy now!" in alone.text
+
+
 def test_ordinal_regression_orders_grades():
     rng = np.random.default_rng(2)
     x = rng.normal(size=900)
