@@ -28,7 +28,7 @@ class GitSource(Source):
 
     def batch(self, spark: SparkSession, wanted: dict[str, Decl]) -> dict[str, DataFrame]:
         rows: dict[str, list[tuple]] = {n: [] for n in self.outputs}
-        for record in self.log(f"--format={_RECORD}%H{_FIELD}%an{_FIELD}%ae{_FIELD}%at{_FIELD}%P{_FIELD}%B{_FIELD}", "--name-status", "-M", "-m", "--first-parent").split(_RECORD)[1:]:
+        for record in self.log(f"--format={_RECORD}%H{_FIELD}%an{_FIELD}%ae{_FIELD}%at{_FIELD}%P{_FIELD}%B{_FIELD}", "--name-status", "-M", "--diff-merges=first-parent").split(_RECORD)[1:]:
             commit, author, email, time, parents, message, files = record.split(_FIELD, 6)
             rows["commit"].append((commit, author, email, int(time), message.strip()))
             rows["commit_parent"] += [(commit, p) for p in parents.split()]

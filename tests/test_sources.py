@@ -66,6 +66,24 @@ def test_git(spark, tmp_path):
     assert sorted((r.file, r.change) for r in out["commit_file"].collect()) == [("a", "A"), ("b", "R")]
 
 
+def test_git_walks_merged_branches(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "trunk")
+    for branch, name in (("trunk", "one"), ("side", "two"), ("side", "three"), ("trunk", "four")):
+        git("checkout", "-q", "-B", branch) if name == "two" else git("checkout", "-q", branch) if name == "four" else None
+        (tmp_path / name).write_text(name)
+        git("add", ".")
+        git("commit", "-qm", name)
+    git("merge", "-q", "--no-ff", "-m", "five", "side")
+    out = ALL["git"]({"root": str(tmp_path)}).batch(spark, {})
+    named = {r.id: r.message for r in out["commit"].collect()}
+    assert sorted(named.values()) == ["five", "four", "one", "three", "two"]
+    parents = sorted((named[r.id], named[r.parent]) for r in out["commit_parent"].collect())
+    assert parents == [("five", "four"), ("five", "three"), ("four", "one"), ("three", "two"), ("two", "one")]
+    files = sorted((named[r.id], r.file, r.change) for r in out["commit_file"].collect())
+    assert files == [("five", "three", "A"), ("five", "two", "A"), ("four", "four", "A"), ("one", "one", "A"), ("three", "three", "A"), ("two", "two", "A")]
+
+
 def test_a_program_names_its_sources(spark, tmp_path):
     (tmp_path / "e.csv").write_text("x,y\n1,2\n2,3\n")
     text = f'.require csv\n.source e = csv(path = "{tmp_path}/e.csv")\n.in\n.decl e(x: number, y: number)\n.out\n.decl q(x: number, y: number)\nq(X, Z) :- e(X, Y), e(Y, Z).\n'
