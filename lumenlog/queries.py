@@ -81,6 +81,7 @@ _simple("interval_join", "orders lineitem", "o: number, n: number", "q(O, N) :-
 _simple("computed_key_join", "supplier nation", "s: number, n: string", "q(S, N) :- supplier(S, _, _, _), nation(K, N, _), S % 25 = K.", "SELECT s_suppkey AS s, n_name AS n FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey")
 _simple("existence", "nation orders", "n: string", 'q(N) :- nation(_, N, _), orders(_, _, "F", _, _, _).', "SELECT n_name AS n FROM nation WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F')")
 _simple("null_join", "part", "a: number, b: number", "v(K, K / (S - 25)) :- part(K, _, _, _, S, _), K <= 200.\nq(A, B) :- v(A, V), v(B, V).", "WITH v AS (SELECT p_partkey AS k, CASE WHEN p_size <> 25 THEN p_partkey // (p_size - 25) END AS v FROM part WHERE p_partkey <= 200) SELECT x.k AS a, y.k AS b FROM v x JOIN v y ON x.v IS NOT DISTINCT FROM y.v")
+_simple("null_join_whole", "part", "a: number, b: number", "v(K, K / (S - 25)) :- part(K, _, _, _, S, _).\nq(A, B) :- v(A, V), v(B, V).", "WITH v AS (SELECT p_partkey AS k, CASE WHEN p_size <> 25 THEN p_partkey // (p_size - 25) END AS v FROM part) SELECT x.k AS a, y.k AS b FROM v x JOIN v y ON x.v IS NOT DISTINCT FROM y.v")
 _simple("fuzzy_join", "nation", "a: string, b: string", "q(A, B) :- nation(_, A, _), nation(_, B, _), similarity(A, B) > 50.", "WITH g AS (SELECT n_name AS s, unnest(list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))) AS g FROM nation), c AS (SELECT s, g, count(*) AS k FROM g GROUP BY ALL), t AS (SELECT s, sum(k) AS n FROM c GROUP BY s), o AS (SELECT x.s AS a, y.s AS b, sum(least(x.k, y.k)) AS m FROM c x JOIN c y USING (g) GROUP BY ALL) SELECT a, b FROM o JOIN t x ON a = x.s JOIN t y ON b = y.s WHERE 200 * m // (x.n + y.n) > 50")
 
 # Negation and set operations.
@@ -134,6 +135,7 @@ _simple("sssp_merge", "nation", "a: number, d: number", "e(A, A * 2 % 25, A + 1)
 PROGRAMS["sssp_merge"] = (PROGRAMS["sssp_merge"][0].replace(".decl q(a: number, d: number)", ".decl q(a: number, d: number) merge(min)"), PROGRAMS["sssp_merge"][1])
 _simple("longest_dag_max", "nation", "a: number, d: number", "e(A, B) :- nation(A, _, R), nation(B, _, R), A < B.\nq(A, max(0)) :- nation(A, _, _).\nq(B, max(D + 1)) :- q(A, D), e(A, B).", "SELECT n_nationkey::BIGINT AS a, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS d FROM nation")
 _simple("recursive_count", "nation", "a: number, n: number", _EDGES + "q(A, count(B)) :- e(A, B).\nq(A, count(C)) :- q(A, B), e(B, C), B < 0.", f"WITH {_ESQL} SELECT a, count(DISTINCT b) AS n FROM e GROUP BY 1")
+_simple("recursive_count_steps", "nation", "a: number, n: number", _EDGES + "q(A, count(B)) :- e(A, B).\nq(A, count(C)) :- q(A, B), e(B, C).", f"WITH RECURSIVE {_ESQL}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, count(*) AS n FROM t GROUP BY 1")
 _add(
     "congruence",
     """use nation
