@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,16 +26,20 @@ from .common import need
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button".split())
+#: Where one of these begins, an open one of its kind has no end tag.
+ALONE = frozenset("noscript select button".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element of these ends an open one of those.
 ENDS = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
+    "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
     **{t: frozenset(["p"]) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul figure figcaption details".split()},
 }
 #: Elements beyond which nothing is ended by implication.
-SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form td th blockquote".split())
+SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form td th blockquote object canvas datalist".split())
 TAGS = "html head body div p article section main aside nav header footer form ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details".split()
 #: Attribute tokens and roles that tell of text and of what surrounds it.
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text page column blog news hentry prose richtext".split())
@@ -49,6 +54,8 @@ SIDE_WORDS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+_RAW_END = {t: re.compile(rf"</{t}\s*>" + (rf"|<{t}(?=[\s/>])" if t in ALONE else ""), re.IGNORECASE) for t in RAW}
+_END_TAG = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
 
 
 @dataclass(slots=True)
@@ -63,10 +70,14 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements. Inline elements' text is their block's; scripts, styles, comments and form controls have none."""
+    """The tree of block elements. Inline elements' text is their block's; scripts, styles, comments and form controls have none.
+
+    A script or style without an end tag lasts to the end of an element it is in; the start tag of another raw element without one is passed over.
+    """
     root = Node("html")
     now, at, in_link = root, 0, False
     size = len(page)
+    endless: set[str] = set()  # raw elements that have no end tag from here on
 
     def text(raw: str) -> None:
         if raw:
@@ -91,8 +102,17 @@ def parse(page: str) -> Node:
         tag, closing = tag.lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+                end = None if tag in endless else _RAW_END[tag].search(page, at)
+                if end is None:
+                    endless.add(tag)
+                if end is not None and end[0].startswith("</"):
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    open_tags, up = set(), now
+                    while up is not None:
+                        open_tags.add(up.tag)
+                        up = up.parent
+                    at = next((e.start() for e in _END_TAG.finditer(page, at) if e[1].lower() in open_tags), size)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -169,12 +189,13 @@ def features(nodes: list[Node]) -> np.ndarray:
                 up_tag[i, kinds.index(nodes[p].tag)] = 1
         if nodes[i].tag == "main":
             up_main[i] += 1
-        siblings = [q for q in nodes[i].parent.parts if isinstance(q, Node)] if p >= 0 else [nodes[i]]
-        if p >= 0 and (k := len(siblings)) > 1:
-            if out[p, 22] == 0:  # places are set for all children at once
+        if p >= 0 and out[p, 22] == 0:  # places are set for all children at once
+            siblings = [q for q in nodes[p].parts if isinstance(q, Node)]
+            if (k := len(siblings)) > 1:
+                alike = Counter(s.tag for s in siblings)
                 for j, s in enumerate(siblings):
-                    out[place[id(s)], 14:17] = j / (k - 1), k, sum(s.tag == t.tag for t in siblings) / k if k <= 64 else 1
-                out[p, 22] = 1
+                    out[place[id(s)], 14:17] = j / (k - 1), k, alike[s.tag] / k
+            out[p, 22] = 1
         if nodes[i].tag in TAGS:
             out[i, 23 + TAGS.index(nodes[i].tag)] = 1
     total = max(whole[0, 0], 1.0)

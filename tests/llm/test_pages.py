@@ -52,6 +52,35 @@ def test_extract_edge_cases(spark, model):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+SEARCH = '<nav><form class="search"><input list="x"><datalist id="x"><option value="a"><option value="b"></datalist></form></nav>'
+ARTICLE = "<article><h1>A title of it</h1>{}<p>The last words of a text that goes on for some time, as texts do.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("before", "inside", "wanted"),
+    [
+        (SEARCH, "", ""),
+        ("", "<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p>", "So E=m holds. "),
+        ("", '<object data="x"><p>Words in place of an object that is not shown here.</p></object>', "Words in place of an object that is not shown here. "),
+        ("", "<canvas><p>Words in place of a canvas that is not shown here.</p></canvas>", "Words in place of a canvas that is not shown here. "),
+        ("<div><button>Go</div><div><svg><path></div>", "", ""),
+        ("<div><script>var x = 1;</div>", "", ""),
+        ("<nav><ul><li><select><li><select><option>One</select></ul></nav>", "", ""),
+        ("", "<p>More words of this same text.</p>" * 100, "More words of this same text. " * 100),
+    ],
+)
+def test_nothing_of_the_article_is_lost(model, before, inside, wanted):
+    page = f"<html><head><title>t</title></head><body>{before}{ARTICLE.format(inside)}<footer>&copy; me</footer></body></html>"
+    assert html_extract.main_text(page, model) == f"A title of it {wanted}The last words of a text that goes on for some time, as texts do."
+
+
+def test_the_share_of_like_siblings_has_no_bound():
+    root = html_extract.parse("<div>" + "<p>a</p>" * 90 + "<ul></ul>" * 10 + "</div>")
+    nodes = html_extract.nodes_of(root)
+    shares = {n.tag: x for n, x in zip(nodes, html_extract.features(nodes)[:, 16], strict=True)}
+    assert shares["p"] == 0.9 and shares["ul"] == 0.1
+
+
 @pytest.mark.parametrize("version", ["1", "2"])
 def test_arc_to_warc(version):
     block = b"HTTP/1.1 200 OK\r\nX-Page-Id: 3\r\n\r\n<p>\xc3\xa9\n\n</p>"
