@@ -247,6 +247,20 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame(rows[:5], table.schema)).count() == 4
 
 
+def test_nearest_ties_of_many_different_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.choice([-1.0, 1.0], size=(900, 12)), axis=0)
+    rng.shuffle(x)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, per_list=4096).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, len(x), 20))
+    for i, found in got.items():
+        score = x @ x[i]
+        assert [n for _, n, _ in sorted(found)] == [n for n in np.lexsort((np.arange(len(x)), -score)) if n != i][:20]
+
+
 def test_a_query_of_frequent_words_only():
     made = topk.build(np.arange(300), np.tile(np.array([5, 9], np.uint64), 300), np.arange(0, 601, 2))
     s = topk.Segment({k: made[k].astype(kind).tobytes() for k, kind in topk._FIELDS.items()})
