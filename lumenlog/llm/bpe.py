@@ -28,7 +28,7 @@ END_SHIFT = 0xE000
 class PrefixEncoder:
     """Exact BPE ids of words (strings of byte symbols)."""
 
-    def __init__(self, tokenizer_path: str, pair_limit: int = 2_000_000):
+    def __init__(self, tokenizer_path: str, pair_limit: int = 250_000):
         import ahocorasick
 
         with open(tokenizer_path, encoding="utf-8") as f:
@@ -104,7 +104,7 @@ class PrefixEncoder:
 
 
 def prefix_coder(tokenizer_path: str) -> ChunkCoder:
-    return ChunkCoder(tokenizer_path, PrefixEncoder(tokenizer_path), limit=1_000_000, keep_decoded=True)
+    return ChunkCoder(tokenizer_path, PrefixEncoder(tokenizer_path), keep_decoded=True)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

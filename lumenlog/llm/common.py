@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only on a local master whose session names no checkpoint folder, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/lumenlog"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a default for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master without one, a default."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or DEFAULT_CHECKPOINT_DIR).rstrip("/")
 
 
@@ -21,7 +24,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        if path := getattr(table, "_scratch_path", None):
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop, scratch
 
 
-def _stars(both: DataFrame, least: DataFrame) -> DataFrame:
-    """Each (u, v) with the least neighbour of u; the least table is written before, so that Spark can split a hub's rows."""
-    return both.join(scratch(least, "least"), "u").select("u", "v", "m")
-
-
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of the edges (a, b), two longs, the least node that it reaches.
 
     Each round is some shuffles of at most twice the edges; their number grows
@@ -22,17 +17,19 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _stars(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch(large, "edges")
-        small = _stars(large, large.groupBy("u").agg(F.min("v").alias("m")))
-        now = scratch(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        drop(now, least)
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = scratch(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(large, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out = scratch(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()), "components")
+    drop(now)
+    return out

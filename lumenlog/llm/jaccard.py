@@ -1,37 +1,46 @@
-"""Exact Jaccard join of documents' shingle sets, by grouped prefix filtering.
-
-Equal sets are one set. Under one order of all shingles, two sets whose Jaccard
-similarity reaches the threshold share a shingle in their prefixes. Sets with
-the same prefix and size make a group, which has its prefix's shingles once.
-First groups are compared with one hub in each of its shingles' lists, and
-the members of a group with its first: families of near copies are linked so in
-linear time. Then groups are expanded: for every shingle, members outside the
-component that most have are compared with all members of other components.
-Pairs within a component needn't be compared, as no link between them changes
-the components; so all links between components are found.
-
-The order of shingles is by hash, but those from the heaviest buckets of a
-count sketch over all shingles come last, and so do those that turn out to be in
-many prefixes, in a few rounds. Any order gives the same result; this one keeps
-the lists of documents that just share a passage short.
+"""Exact Jaccard join of documents' shingle sets, by a grouped prefix join.
+
+Shingles are ordered by how many documents have them, the rarest first, counted
+exactly over the whole corpus. Two sets whose Jaccard similarity reaches the
+threshold share a shingle in their prefixes, their first shingles in that order.
+Equal sets are one set; sets with the same prefix and size make a group, which is
+in the prefix join once. A shingle that one document alone has is in no list, so
+most documents bring nothing to the join.
+
+Groups that share a shingle are filtered as pairs, by their sizes and by what
+can follow the shared places, then expanded to their members and verified. This
+is done in two rounds. In the first each group meets one hub in each of its
+lists, and the members of a group its first: families of near copies become
+components in linear time. In the second all pairs of groups meet but those
+whose members are all in one component already, where no link changes anything.
+
+Counting goes over shuffles of compressed runs, not of rows: a task packs the
+shingles of a slice of documents by ranges of their hashes, a range's task counts
+them over all slices and answers with those that two documents have at least,
+and a slice's task then orders its documents' shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, scratch, text_or_empty
+from .common import drop, need, scratch, text_or_empty
 from .components import connected
-from .textbytes import LOWER, mixed, slices, span_hashes, text_bytes, words
-
-_A = np.uint64(0x9E3779B97F4A7C15)
-#: Buckets of the sketch and bits of the filter: fixed sizes of a few megabytes, whatever the corpus.
-SKETCH_BITS, ORDER_BITS, FILTER_BITS = 20, 24, 23
-#: A shingle in more prefixes than this is moved back, in so many rounds at most.
-CROWD, ROUNDS = 12, 1
+from .textbytes import LOWER, mixed, release, slices, span_hashes, text_bytes, words
+
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: A slice has at most 2^SLICE_BITS documents and, unless one has more, SLICE_SHINGLES shingles.
+SLICE_BITS, SLICE_SHINGLES = 12, 1_000_000
+#: Bytes of text for each range of hashes, so that a range's shingles fit a task.
+RANGE_BYTES = 8_000_000
+#: Bits of the filter for each wanted document, and its size in bits at most (32 MB).
+FILTER_SHARE, FILTER_BITS = 16, 28
 _LAST = 2**63 - 1  # stands for a null id
 
 
@@ -47,7 +56,8 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(h[a : b - n + 1]))
+            s = np.sort(h[a : b - n + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         else:
             one = np.array([b - a], dtype=np.uint64)
             for w in word[a:b]:
@@ -56,86 +66,155 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([mixed(s ^ _A).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+def prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + (n > 0)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def packed(rising: np.ndarray) -> bytes:
+    """Rising 64-bit numbers, as compressed planes of their differences' bytes."""
+    steps = np.diff(rising, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
-def _scan(texts: DataFrame, n: int) -> DataFrame:
-    """(doc, size, set_id) for each row; with size -1, a task's heavy sketch buckets as bucket << 32 | count."""
+def unpacked(run: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(run, 8 * n, "zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+_HEAD = np.dtype([("doc", "<i8"), ("size", "<i4"), ("one", "<i8"), ("two", "<i8")])
+_RUNS = "range long, slice long, n int, head binary, run binary"
+
+
+def _slice_runs(texts: DataFrame, n: int, bits: int) -> DataFrame:
+    """Rows (range, slice, n, head, run): a run has the shingles of a slice in a range of hashes, each with its document's place; a slice's head, its documents, goes along with one."""
+    token = 64 - min(52, bits + 32)
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc", "size", "set_id", "heavy"]
-        for batch in slices(batches, 1):
-            sets = shingle_sets(batch.column(1), n)
-            for s in sets:
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int32()), pa.array(set_ids(sets)), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
-        heavy = np.flatnonzero(counts >= max(4, 2 * counts.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1], type=pa.int32()), pa.array([int(counts.sum())]), pa.array([(heavy << 32 | counts[heavy]).tolist()], type=pa.list_(pa.int64()))], names)
-
-    return scratch(texts.mapInArrow(run, "doc long, size int, set_id long, heavy array<long>"), "scan")
-
-
-def _weights(scan: DataFrame) -> np.ndarray:
-    """Of every sketch bucket: 0, or the logarithm of its count over the mean where that is twice the mean or more."""
-    marks = scan.where("size = -1")
-    total = marks.agg(F.sum("set_id")).first()[0] or 0
-    mean = max(2.0, total / (1 << SKETCH_BITS))
-    found = marks.select(F.explode("heavy").alias("x")).groupBy(F.shiftright("x", 32).alias("b")).agg(F.sum(F.col("x").bitwiseAND(0xFFFFFFFF)).alias("c")).where(F.col("c") >= 2 * mean).toArrow()  # rows: sketch buckets
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    out[found.column("b").to_numpy()] = np.log2(found.column("c").to_numpy() / mean).astype(np.uint8)
-    return np.repeat(out, 1 << (ORDER_BITS - SKETCH_BITS))
-
-
-def _moved_back(texts: DataFrame, n: int, percent: int, weights: np.ndarray) -> np.ndarray:
-    """Weights by which shingles that crowd prefixes come later, by how many prefixes have them."""
-    for _ in range(ROUNDS):
-        held = texts.sparkSession.sparkContext.broadcast(weights)
-        tokens = _prefixes(texts, n, percent, held).select(F.explode("prefix").alias("token"))
-        crowded = tokens.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > CROWD)
-        rows = crowded.groupBy(F.shiftrightunsigned("token", 64 - ORDER_BITS).alias("b")).agg(F.max("k").alias("k")).toArrow()  # rows: buckets of the order
-        held.destroy()
-        at, k = rows.column("b").to_numpy(), rows.column("k").to_numpy()
-        later = np.maximum(weights[at], (2 + np.log2(k / CROWD)).astype(np.uint8))
-        if (later == weights[at]).all():
-            break
-        weights[at] = later
-    return weights
-
-
-def _prefixes(texts: DataFrame, n: int, percent: int, weights) -> DataFrame:
-    def run(batches):
-        table = weights.value
+        part, made = TaskContext.get().partitionId(), 0
+        docs: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def flush():
+            nonlocal made
+            name = part << 32 | made
+            made += 1
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            h = np.concatenate(sets)
+            head = np.zeros(len(docs), dtype=_HEAD)
+            head["doc"], head["size"] = docs, sizes
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            for field, salt in (("one", _A), ("two", _B)):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ salt), dtype=np.uint64)])
+                head[field] = (total[before[1:]] - total[before[:-1]]).view(np.int64)
+            h = np.sort((h >> np.uint64(token)) << np.uint64(SLICE_BITS) | np.repeat(np.arange(len(docs), dtype=np.uint64), sizes))
+            ranges = (h >> np.uint64(64 - token + SLICE_BITS - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+            rows = [(int(ranges[a]), name, int(b - a), None, packed(h[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows.append((name % (1 << bits), name, 0, head.tobytes(), None))
+            docs.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "slice", "n", "head", "run"])
+
+        held = 0
         for batch in slices(batches, 1):
-            sets = shingle_sets(batch.column(1), n)
-            prefixes = []
-            for s in sets:
-                weight = table[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                keep = prefix_length(len(s), percent)
-                prefixes.append(s[np.argsort(weight, kind="stable")[:keep]] if weight.any() else s[:keep])
-            groups = np.array([mixed(np.array([mixed(p).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] for p, s in zip(prefixes, sets, strict=True)], dtype=np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), type=pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int32()), pa.array(set_ids(sets)), pa.array(groups), lists], ["doc", "size", "set_id", "grp", "prefix"])
-
-    return texts.mapInArrow(run, "doc long, size int, set_id long, grp long, prefix array<long>")
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
+                if docs and (held + len(s) > SLICE_SHINGLES or len(docs) >> SLICE_BITS):
+                    yield flush()
+                    held = 0
+                docs.append(doc)
+                sets.append(s)
+                held += len(s)
+        if docs:
+            yield flush()
+        release()
+
+    return texts.mapInArrow(run, _RUNS)
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of the runs of one range: for each slice, those shingles that two documents have at least, and their counts."""
+    names, sizes = table["slice"].to_pylist(), table["n"].to_pylist()
+    some = [i for i, n in enumerate(sizes) if n]
+    rows = [(names[i], 0, head, None, None) for i, head in enumerate(table["head"].to_pylist()) if head is not None]
+    if some:
+        runs = table["run"]
+        every = np.concatenate([unpacked(runs[i].as_py(), sizes[i]) for i in some])
+        token = every >> np.uint64(SLICE_BITS)
+        order = np.argsort(token, kind="stable")
+        fresh = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) > 0]))
+        counts = np.diff(np.append(fresh, len(order)))
+        of = np.empty(len(every), dtype=np.uint32)
+        of[order] = np.repeat(np.minimum(counts, 2**32 - 1), counts)
+        a = 0
+        for i in some:
+            b = a + sizes[i]
+            often = of[a:b] > 1
+            if often.any():
+                planes = np.ascontiguousarray(of[a:b][often].view(np.uint8).reshape(-1, 4).T)
+                rows.append((names[i], int(often.sum()), None, packed(every[a:b][often]), pa.compress(planes.tobytes(), "zstd", asbytes=True)))
+            a = b
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["slice", "n", "head", "run", "counts"])
+
+
+def _ordered(percent: int):
+    """Of a slice's head and answers, a row for each document: its set's fingerprint, and those shingles of its prefix that others have too, with the first's place."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        head = np.frombuffer(next(h for h in table["head"].to_pylist() if h is not None), dtype=_HEAD)
+        some = [i for i, n in enumerate(sizes) if n]
+        every = np.concatenate([np.zeros(0, np.uint64), *(unpacked(table["run"][i].as_py(), sizes[i]) for i in some)])
+        planes = [np.frombuffer(pa.decompress(table["counts"][i].as_py(), 4 * sizes[i], "zstd", asbytes=True), np.uint8).reshape(4, -1) for i in some]
+        counts = np.concatenate([np.zeros(0, np.uint32), *(np.ascontiguousarray(p.T).view(np.uint32).ravel() for p in planes)])
+        doc, token = (every & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64), every >> np.uint64(SLICE_BITS)
+        shared = np.bincount(doc, minlength=len(head))
+        alone = head["size"] - shared
+        room = np.maximum(prefix_length(head["size"].astype(np.int64), percent) - alone, 0)
+        order = np.lexsort((token, counts, doc))
+        doc, token = doc[order], token[order]
+        rank = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc]
+        keep = rank < room[doc]
+        doc, token = doc[keep], token[keep].view(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.minimum(room, shared))])
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token.view(np.uint64) + _A), dtype=np.uint64)])
+        own = np.where(alone > 0, head["one"].view(np.uint64), prefix[bounds[1:]] - prefix[bounds[:-1]])
+        group = mixed(own + mixed(head["size"].astype(np.uint64) * np.uint64(2) + (alone > 0))).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(token))
+        return pa.table([pa.array(head["doc"]), pa.array(head["size"]), pa.array(head["one"]), pa.array(head["two"]), pa.array(group), pa.array(alone.astype(np.int32)), lists], names=["doc", "size", "one", "two", "grp", "alone", "prefix"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, size, one, two, grp, alone, prefix) for each row of (doc, text).
+
+    one and two are a fingerprint of the set in 128 bits. alone: how many of its
+    shingles nobody else has; they come first in the order, and prefix has what
+    follows them within the prefix. Hashes are cut to some 40 bits or more here,
+    and shingles whose hashes agree in those count as one: that makes some
+    commoner than they are, and changes no result.
+    """
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
+    bits = min(24, max(1, math.ceil(math.log2(ranges))))
+    answers = _slice_runs(texts, n, bits).groupBy("range").applyInArrow(_counted, "slice long, n int, head binary, run binary, counts binary")
+    return answers.groupBy("slice").applyInArrow(_ordered(percent), "doc long, size int, one long, two long, grp long, alone int, prefix array<long>")
 
 
 def _arrays(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """The whole shingle sets of wanted documents (rep); a filter of fixed size passes these and few others.
+    """The whole shingle sets of wanted documents (rep); a filter passes these and few others.
 
     Rows that share an id each bring theirs: pairs are then compared for all.
     """
-    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(FILTER_SHARE * max(1, wanted.count())))))
+    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << bits))
     rows = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    held = texts.sparkSession.sparkContext.broadcast(bits)  # one megabyte, by FILTER_BITS
-    flagged = texts.withColumn("bit", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)))
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(table)  # at most 32 MB, by FILTER_BITS
+    flagged = texts.withColumn("bit", F.pmod(F.xxhash64("doc"), F.lit(1 << bits)))
 
     def run(batches):
         table = held.value
@@ -150,15 +229,13 @@ def _arrays(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return flagged.select("doc", "text", "bit").mapInArrow(run, "rep long, shingles array<long>").join(wanted, "rep", "left_semi")
 
 
-def _may_link(percent: int):
-    """Whether sets of sizes na and nb with c shingles common to their prefixes can reach the threshold.
+def _may_link(percent: int, na: str, i: str, nb: str, j: str):
+    """Whether sets of these sizes can reach the threshold if the first shingle that they share is at i in one and at j in the other.
 
-    Of the two take the one whose prefix ends first in the order: what they
-    share is in both prefixes or behind its prefix.
+    What follows it in either is all that they can share.
     """
-    behind = lambda size: F.col(size) - (F.col(size) - F.ceil(F.col(size) * percent / F.lit(100)) + 1)
-    most = F.col("c") + F.greatest(behind("na"), behind("nb"))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return fits & (F.least(F.col(na) - F.col(i), F.col(nb) - F.col(j)) * (100 + percent) >= percent * (F.col(na) + F.col(nb)))
 
 
 def _linked(texts: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +257,11 @@ def _linked(texts: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFra
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, type=pa.bool_()))
+        release()
 
-    return scratch(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = scratch(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop(pairs, arrays)
+    return links
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -189,57 +269,69 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     A-Z count as a-z; words are parted by ASCII white space. Two documents link
     when 100 * common shingles >= percent * shingles of either. Null or empty
-    text has no shingles and links with nothing. Rows with one doc_id are one
-    document, whose links are those of all its rows; null ids are one document,
-    whose component is null if it holds no other. No rows give no rows.
+    text has no shingles and links with nothing; texts of any length are taken
+    whole. Rows with one doc_id are one document, whose links are those of all
+    its rows; null ids are one document, whose component is null if it holds no
+    other. Other columns are not read. No rows give no rows.
     """
     need(docs, "doc_id", "text")
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), text_or_empty().alias("text"))
-    scan = _scan(texts, n)
-    weights = docs.sparkSession.sparkContext.broadcast(_moved_back(texts, n, percent, _weights(scan)))  # sixteen megabytes, by ORDER_BITS
-    found = _prefixes(texts, n, percent, weights).where("size > 0")
-    sets = scratch(found.groupBy("size", "set_id").agg(F.min("doc").alias("rep"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")), "sets")
-    tokens = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.count("*").alias("n")).select("grp", "rep", "size", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.sum("n").alias("members"), F.min(F.struct("rep", "size")).alias("hub")).where("members > 1").drop("members")
-    lists = scratch(tokens.join(shared, "token").select("token", "pos", "grp", "rep", "size", "hub"), "lists")
-    members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep", "size"), "grp").select("grp", "first", "rep", "size"), "members")
-    stars = lists.where("rep <> hub.rep").groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")).agg(F.count("*").alias("c")).where(_may_link(percent)).select("a", "b")
+    found = scratch(prefixes(texts, n, percent), "prefixes")
+    key = ["size", "one", "two"]
+    sets = scratch(found.where("size > 0").groupBy(*key).agg(F.min("doc").alias("rep"), F.first("grp").alias("grp"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix")), "sets")
+    groups = sets.groupBy("grp").agg(F.min("rep").alias("rep"), F.first("size").alias("size"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix"), F.count("*").alias("n"))
+    tokens = groups.select("grp", "rep", "size", "n", "alone", F.posexplode("prefix").alias("k", "token")).withColumn("pos", F.col("alone") + F.col("k"))
+    shared = tokens.groupBy("token").agg(F.sum("n").alias("members"), F.min(F.struct("rep", "size", "pos")).alias("hub")).where("members > 1").drop("members")
+    lists = scratch(tokens.join(shared, "token").select("token", "pos", "grp", "rep", "size", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("nh"), F.col("hub.pos").alias("ph")), "lists")
+    members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep"), "grp").select("grp", "first", "rep"), "members")
+    stars = lists.where(F.col("rep") != F.col("hub")).where(_may_link(percent, "size", "pos", "nh", "ph")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     inner = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     links = _linked(texts, n, stars.union(inner), percent)
-    first = scratch(connected(links), "components")
-    placed = members.join(first, members["rep"] == first["node"], "left").select("grp", "rep", "size", F.coalesce("component", "rep").alias("c"))
-    rows = scratch(lists.select("token", "pos", "grp").join(scratch(placed, "placed"), "grp").select("token", "pos", "rep", "size", "c"), "rows")
-    by = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
-    most = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = scratch(rows.join(scratch(most, "most").select("token", "most"), "token"), "open")
-    x = open_rows.where("c <> most").select("token", F.col("pos").alias("i"), F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"))
-    y = open_rows.select("token", F.col("pos").alias("j"), F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), "most")
-    fits = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    # At the first shingle that two sets share, what is behind it in either is all that they can share.
-    fits = fits & (F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) * (100 + percent) >= percent * (F.col("nx") + F.col("ny")))
-    met = scratch(x.join(y, "token").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
-    one = sets.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("pb"))
-    two = sets.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("pa"))
-    counted = met.join(one, "b").join(two, "a").withColumn("c", F.size(F.array_intersect("pa", "pb")))
-    rest = counted.where(_may_link(percent)).select("a", "b").distinct()
+    first = connected(links)
+    placed = scratch(members.join(first, members["rep"] == first["node"], "left").select("grp", "rep", F.coalesce("component", "rep").alias("c")), "placed")
+    rest = _open_pairs(lists, placed, percent)
     more = _linked(texts, n, rest, percent)
-    joined = links.union(more).union(_same_document(scan))
-    label = scratch(connected(joined), "components")
-    own = scan.where("size >= 0").join(sets.select("size", "set_id", "rep"), ["size", "set_id"], "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"))
-    out = own.join(label, own["rep"] == label["node"], "left").select("doc", "size", F.coalesce("component", "rep").alias("c"))
+    label = connected(links.union(more).union(_same_document(found, sets)))
+    own = found.join(sets.select(*key, "rep"), key, "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"))
+    out = scratch(own.join(label, own["rep"] == label["node"], "left").select("doc", "size", F.coalesce("component", "rep").alias("c")), "labelled")
+    drop(found, sets, lists, members, links, first, placed, more, label)
     null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return out.select(null("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), null("c").alias("component_id"))
 
 
-def _same_document(scan: DataFrame) -> DataFrame:
+def _open_pairs(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components, from the pairs of groups that may link.
+
+    In each list, of the component that has most of its groups none is compared
+    with another of its own; a group whose members are in several components is
+    compared with all, and within itself.
+    """
+    state = scratch(placed.groupBy("grp").agg(F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("several")), "states")
+    rows = scratch(lists.select("token", "pos", "grp", "size").join(state, "grp"), "rows")
+    by = rows.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("several").alias("s"))
+    most = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("parts"), F.max("s").alias("s")).where("parts > 1 or s")
+    open_rows = scratch(rows.join(most.select("token", "most"), "token"), "open")
+    x = open_rows.where("c <> most or several").select("token", F.col("pos").alias("i"), F.col("grp").alias("x"), F.col("size").alias("nx"), F.col("c").alias("cx"), F.col("several").alias("vx"))
+    y = open_rows.select("token", F.col("pos").alias("j"), F.col("grp").alias("y"), F.col("size").alias("ny"), F.col("c").alias("cy"), F.col("several").alias("vy"), "most")
+    seen = F.expr("cy = most and not vy")  # this y is no x, so the pair comes once
+    differ = (F.col("x") != F.col("y")) & (F.col("vx") | F.col("vy") | (F.col("cx") != F.col("cy"))) & (seen | (F.col("x") < F.col("y")))
+    met = x.join(y, "token").where(differ & _may_link(percent, "nx", "i", "ny", "j")).select(F.least("x", "y").alias("g"), F.greatest("x", "y").alias("h"))
+    met = scratch(met.union(state.where("several").select(F.col("grp").alias("g"), F.col("grp").alias("h"))).distinct(), "met")
+    one = placed.select(F.col("grp").alias("g"), F.col("rep").alias("a"), F.col("c").alias("ca"))
+    two = placed.select(F.col("grp").alias("h"), F.col("rep").alias("b"), F.col("c").alias("cb"))
+    pairs = scratch(met.join(one, "g").join(two, "h").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "expanded")
+    drop(state, rows, open_rows, met)
+    return pairs
+
+
+def _same_document(found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the sets of rows that share an id, from the second set on to the first."""
-    rows = scan.where("size > 0").select("doc", "size", "set_id").distinct()
+    rows = found.where("size > 0").select("doc", "size", "one", "two").distinct()
     twice = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1")
-    reps = scan.where("size > 0").groupBy("size", "set_id").agg(F.min("doc").alias("rep"))
-    return rows.join(twice, "doc", "left_semi").join(reps, ["size", "set_id"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    return rows.join(twice, "doc", "left_semi").join(sets.select("size", "one", "two", "rep"), ["size", "one", "two"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; rows without an id stay, as do repeated rows of a kept id."""
-    kept = components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["gone"], "left_anti")
+    """The rows of docs whose doc_id is their component's smallest; rows without an id stay, as do repeated rows of a kept id. Edge cases as in components; no rows give no rows."""
+    gone = scratch(components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,10 @@ PAD = 8
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _trim = None
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,8 +42,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([body, np.zeros(PAD, dtype=np.uint8)]), bounds - bounds[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about most bytes of text, at least a row each."""
+def release() -> None:
+    """Give memory that this process has freed back to the system, so that what one task needed isn't held in the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about most bytes of text, at least a row each; frees what the task held at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -49,6 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 6_000_000
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def words(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 No token crosses white space there, so a text is the concatenation of its
 white-space chunks' tokens. A worker keeps the ids of the chunks it has seen
-(a bounded cache: when full it is emptied, which changes no result) and
-gathers a whole text's ids with numpy.
+(a cache bounded by bytes: when full it is emptied, which changes no result)
+and gathers a whole text's ids with numpy.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ ODD = np.zeros(256, dtype=bool)
 ODD[[0x27, 0x3C, 0xC2, *range(0xC6, 0x100)]] = True
 #: Marks that often end a chunk; together they are one word of the pattern.
 MARKS = ",.;:!?#$%&*|"
+#: What a coder's cache may hold before it is emptied.
+CACHE_BYTES = 32_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -46,7 +48,7 @@ def byte_symbols() -> list[str]:
 class ChunkCoder:
     """Texts to ids. encode_word: the ids of one word, given in byte symbols without the word end."""
 
-    def __init__(self, tokenizer_path: str, encode_word: Callable[[str], list[int]], limit: int = 1_000_000, keep_decoded: bool = False):
+    def __init__(self, tokenizer_path: str, encode_word: Callable[[str], list[int]], limit: int = CACHE_BYTES, keep_decoded: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path)
@@ -62,7 +64,12 @@ class ChunkCoder:
 
     def clear(self) -> None:
         self.slots, self.starts, self.sizes = SlotTable(), array("q"), array("q")
-        self.flat, self.decoded = array("H"), []
+        self.flat, self.decoded, self.decoded_bytes = array("H"), [], 0
+
+    def held(self) -> int:
+        """Bytes of the cache, about."""
+        slots = self.slots
+        return slots.one.nbytes + slots.two.nbytes + slots.table.nbytes + 8 * (len(self.starts) + len(self.sizes)) + 2 * len(self.flat) + self.decoded_bytes
 
     def word_ids(self, word: str) -> list[int]:
         symbols = self.symbols
@@ -115,7 +122,7 @@ class ChunkCoder:
 
     def batch(self, texts: pa.Array) -> Coded:
         """The texts' ids, and their decoded texts if this coder keeps them."""
-        if self.slots.count > self.limit:
+        if self.held() > self.limit:
             self.clear()
         body, bounds = text_bytes(texts)
         starts, ends, before = self.units(body, bounds)
@@ -134,6 +141,7 @@ class ChunkCoder:
                 self.flat.extend(ids)
                 if self.keep_decoded:
                     self.decoded.append(self.decode(ids))
+                    self.decoded_bytes += 64 + len(self.decoded[-1])
             self.slots.add(one[new], two[new])
             at[missing] = place + back
         sizes = np.frombuffer(self.sizes, dtype=np.int64)[at] if len(at) else at
@@ -164,7 +172,7 @@ class Coded:
     decoded: pa.Array | None
 
 
-def library_coder(tokenizer_path: str, limit: int = 1_000_000) -> ChunkCoder:
+def library_coder(tokenizer_path: str, limit: int = CACHE_BYTES) -> ChunkCoder:
     """Words encoded by the tokenizers library's own model."""
     from tokenizers import Tokenizer
 
