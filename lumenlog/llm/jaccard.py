@@ -240,7 +240,6 @@ def _may_link(percent: int, na: str, i: str, nb: str, j: str):
 
 def _linked(texts: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets' similarity reaches the threshold, counted exactly."""
-    pairs = scratch(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
     arrays = scratch(_arrays(texts, n, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()), "arrays")
@@ -260,7 +259,7 @@ def _linked(texts: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFra
         release()
 
     links = scratch(both.mapInArrow(run, "a long, b long").distinct(), "links")
-    drop(pairs, arrays)
+    drop(arrays)
     return links
 
 
@@ -286,15 +285,17 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     members = scratch(lists.select("grp", F.col("rep").alias("first")).distinct().join(sets.select("grp", "rep"), "grp").select("grp", "first", "rep"), "members")
     stars = lists.where(F.col("rep") != F.col("hub")).where(_may_link(percent, "size", "pos", "nh", "ph")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     inner = members.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    links = _linked(texts, n, stars.union(inner), percent)
+    near = scratch(stars.union(inner), "pairs")
+    links = _linked(texts, n, near, percent)
     first = connected(links)
     placed = scratch(members.join(first, members["rep"] == first["node"], "left").select("grp", "rep", F.coalesce("component", "rep").alias("c")), "placed")
     rest = _open_pairs(lists, placed, percent)
     more = _linked(texts, n, rest, percent)
-    label = connected(links.union(more).union(_same_document(found, sets)))
+    added = scratch(more.union(_same_document(found, sets)), "added")
+    label = first if added.isEmpty() else connected(links.union(added))
     own = found.join(sets.select(*key, "rep"), key, "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep"))
     out = scratch(own.join(label, own["rep"] == label["node"], "left").select("doc", "size", F.coalesce("component", "rep").alias("c")), "labelled")
-    drop(found, sets, lists, members, links, first, placed, more, label)
+    drop(found, sets, lists, members, near, links, first, placed, rest, more, added, label)
     null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return out.select(null("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), null("c").alias("component_id"))
 
