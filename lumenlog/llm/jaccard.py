@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, need, scratch, text_or_empty
 from .components import connected
-from .textbytes import LOWER, mixed, release, slices, span_hashes, text_bytes, words
+from .textbytes import LOWER, mixed, packed, release, slices, span_hashes, text_bytes, unpacked, words
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A slice has at most 2^SLICE_BITS documents and, unless one has more, SLICE_SHINGLES shingles.
@@ -70,17 +70,6 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + (n > 0)
 
 
-def packed(rising: np.ndarray) -> bytes:
-    """Rising 64-bit numbers, as compressed planes of their differences' bytes."""
-    steps = np.diff(rising, prepend=np.uint64(0))
-    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(run: bytes, n: int) -> np.ndarray:
-    raw = pa.decompress(run, 8 * n, "zstd", asbytes=True)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 _HEAD = np.dtype([("doc", "<i8"), ("size", "<i4"), ("one", "<i8"), ("two", "<i8")])
 _RUNS = "range long, slice long, n int, head binary, run binary"
 

@@ -3,23 +3,30 @@
 A gear rolling hash, of the last 16 bytes at every place, cuts a text where it
 is smallest among the places up to REACH bytes on either side. Cuts depend on
 nearby bytes only, so an insertion shifts chunks but doesn't change those
-beyond it. A chunk is known by its digest; of equal chunks the first, by doc_id
-and place, owns the text, and the others are repeats. Neighbouring repeats make
+beyond it. A chunk is known by its digest of 128 bits; of equal chunks the first,
+by doc_id and place, owns the text, and the others are repeats. Neighbouring repeats make
 a run, and runs of at least min_bytes are taken out of the text, but for words of
 up to WORD bytes that lie across their ends. In text with a period of up to REACH
 bytes equally small hashes recur; such a stretch is cut at its first and last of
 them, and between these about every STRETCH bytes.
+
+Most chunks are in one place only. They are told apart first: tasks count short
+keys of all chunks, which travel sorted and compressed, and only chunks whose key
+passes a filter of the repeated ones become rows. Rows of texts are known by
+doc_id and the text's hash, so that no text loses what another one repeats.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, text_or_empty
-from .textbytes import PAD, mixed, slices, span_hashes, text_bytes
+from .common import drop, need, scratch, text_or_empty
+from .textbytes import PAD, mixed, packed, release, slices, span_hashes, text_bytes, unpacked
 
 WINDOW, REACH = 16, 28
 #: Bytes of a chunk within a stretch of a short period.
@@ -32,6 +39,8 @@ _GAP = WINDOW + REACH
 GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 GEAR[0] = 0
 _NONE = np.uint32(0xFFFFFFFF)
+#: Bytes of text for each range of hashes, chunks of a run, and bits of the filter of repeated chunks at most (32 MB).
+RANGE_BYTES, RUN, FILTER_BITS = 64_000_000, 1_000_000, 28
 
 
 def gear_hashes(body: np.ndarray) -> np.ndarray:
@@ -71,8 +80,8 @@ def chain_cuts(low: np.ndarray) -> np.ndarray:
     return low[fresh | last | np.concatenate([[True], part[1:] != part[:-1]])]
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each chunk's text, start and end there, and digests; then the texts' bytes and bounds aren't needed any more."""
+def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each chunk's text, start and end there, and two hashes, which are its digest."""
     body, bounds = text_bytes(texts)
     sizes = np.diff(bounds)
     shift = _GAP * (np.arange(len(sizes)) + 1)
@@ -95,7 +104,7 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     ends = np.minimum(np.concatenate([starts[1:], [len(spread)]]), (bounds[1:] + shift)[which]) if len(starts) else starts
     base = (bounds[:-1] + shift)[which] if len(starts) else starts
     one, two = span_hashes(spread, starts, ends)
-    return which, starts - base, ends - base, mixed(one ^ mixed(two)).view(np.int64), spread, bounds
+    return which, starts - base, ends - base, one, two
 
 
 def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -136,48 +145,116 @@ def without(text: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: (digest, doc, start, stop), places in bytes of the text's UTF-8."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): rows that agree in doc_id and text are one."""
+    text = text_or_empty()
+    return docs.select(docs["doc_id"], F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter that the first hashes of all repeated chunks pass, and few others: words of bits, and how many bits of a hash they take.
+
+    A range of hashes is counted by one task, from runs that are sorted and
+    compressed; a run has a hash's first 32 bits within its range.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
+    bits = min(24, max(1, math.ceil(math.log2(ranges))))
+    width = min(FILTER_BITS, max(16, math.ceil(math.log2(max(1, size / 8)))))
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            h = np.sort(np.concatenate(held)) >> np.uint64(32 - bits)
+            held.clear()
+            parts = (h >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
+            sizes = np.diff(cuts)
+            runs = [packed(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(parts[cuts[:-1]]), pa.array(sizes.astype(np.int32)), pa.array(runs, type=pa.binary())], ["range", "n", "run"])
+
+        for batch in slices(batches, 0):
+            one = chunks(batch.column(0))[3]
+            if len(one):
+                held.append(one)
+            if sum(map(len, held)) > RUN:
+                yield flush()
+        if held:
+            yield flush()
+        release()
+
+    def count(table: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([unpacked(r.as_py(), n.as_py()) for r, n in zip(table["run"], table["n"], strict=True)]))
+        again = np.unique(h[1:][h[1:] == h[:-1]])
+        at = np.unique((again >> np.uint64(32 + bits - width)).astype(np.int64))
+        word, back = np.unique(at >> 6, return_inverse=True)
+        out = np.zeros(len(word), dtype=np.uint64)
+        np.bitwise_or.at(out, back, np.uint64(1) << (at & 63).astype(np.uint64))
+        return pa.table({"word": pa.array(word), "set": pa.array(out.view(np.int64))})
+
+    runs = rows.select("text").mapInArrow(run, "range long, n int, run binary")
+    found = runs.groupBy("range").applyInArrow(count, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()  # at most 2^FILTER_BITS bits
+    table = np.zeros(1 << (width - 6), dtype=np.int64)
+    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    return table, width
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(one, two, doc, key, start, stop): all chunks that are in several places, and a few others; places in bytes of the text's UTF-8."""
+    rows = _keyed(docs)
+    table, width = _often(rows)
+    held = docs.sparkSession.sparkContext.broadcast(table)  # at most 32 MB, by FILTER_BITS
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, 1, 4_000_000):
-            which, start, end, digest, _, _ = chunks(batch.column(1))
-            if len(which):
-                yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(0).take(pa.array(which)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["digest", "doc", "start", "stop"])
+        table = held.value
+        for batch in slices(batches, 2):
+            which, start, end, one, two = chunks(batch.column(2))
+            at = (one >> np.uint64(64 - width)).astype(np.int64)
+            some = np.flatnonzero((table[at >> 6] >> (at & 63)) & 1)
+            if len(some):
+                which = pa.array(which[some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64)), batch.column(0).take(which), batch.column(1).take(which), pa.array(start[some].astype(np.int32)), pa.array(end[some].astype(np.int32))],
+                    ["one", "two", "doc", "key", "start", "stop"],
+                )
 
-    return docs.select(docs["doc_id"], text_or_empty().alias("text")).mapInArrow(run, f"digest long, doc {id_type}, start int, stop int")
+    return scratch(rows.mapInArrow(run, f"one long, two long, doc {id_type}, key long, start int, stop int"), "chunks")
 
 
 def dedup(docs: DataFrame, min_bytes: int = 64, extra: list[str] = ()) -> DataFrame:
     """Every row's (doc_id, the columns of extra, text without repeats, removed_bytes, removed_spans).
 
     A passage's first occurrence stays, by doc_id and place; later ones go, in
-    the same document too. Null text stays null and empty text empty. Rows with
-    the same doc_id are versions of one document: what stands at the same place
-    in them isn't a repeat, and what is cut there is cut in all. Null ids are
-    one such document, after all others. An empty table gives no rows.
+    the same document too. Null text stays null and empty text empty; texts of
+    any length are cut whole. Rows with the same doc_id and different texts are
+    documents of their own, in the order of their texts' hashes; rows that agree
+    in both are one document and cut alike. Null ids come after all others. An
+    empty table gives no rows. Columns that aren't in extra are not read.
 
     removed_spans: what was taken out, in bytes of the text's UTF-8.
 
-    Two shuffles by digest (of counts, combined before, then of chunks against
-    the repeated digests, a join that Spark splits where a passage is in a third
-    of all texts) and one of the texts by doc_id. A document's spans are at most
-    its chunks.
+    Repeated chunks are shuffled by digest twice: as counts, combined before,
+    and against the repeated digests, a join that Spark splits where a passage
+    is in a third of all texts. Texts are shuffled by row. A document's spans are
+    at most its chunks.
     """
     need(docs, "doc_id", "text")
-    pieces = chunk_table(docs)
-    owner = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "start"))
-    owned = pieces.groupBy("digest").agg(F.count("*").alias("n"), owner.alias("o")).where("n > 1").select(F.col("digest").alias("d"), F.col("o.doc").alias("owner"), F.col("o.start").alias("at"))
-    repeats = pieces.join(owned, F.col("digest") == F.col("d")).where(~(F.col("doc").eqNullSafe(F.col("owner")) & (F.col("start") == F.col("at"))))
-    spans = repeats.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).withColumnRenamed("doc", "of")
+    pieces = repeated_chunks(docs)
+    owner = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "key", "start"))
+    owned = scratch(pieces.groupBy("one", "two").agg(F.count("*").alias("n"), owner.alias("o")).where("n > 1").select("one", "two", F.col("o.doc").alias("owner"), F.col("o.key").alias("its"), F.col("o.start").alias("at")), "owners")
+    repeats = pieces.join(owned, ["one", "two"]).where(~(F.col("doc").eqNullSafe(F.col("owner")) & (F.col("key") == F.col("its")) & (F.col("start") == F.col("at"))))
+    spans = scratch(repeats.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).select(F.col("doc").alias("of"), F.col("key").alias("by"), "spans"), "spans")
+    drop(pieces, owned)
     kept = ["doc_id", *extra]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    texts = docs.select(docs["text"].alias("\x00text"), *(docs[c] for c in kept))
-    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["of"]), "left").select("\x00text", "spans", *(texts[c] for c in kept))
+    texts = docs.select(docs["text"].alias("\x00text"), F.xxhash64(text_or_empty()).alias("\x00key"), *(docs[c] for c in kept))
+    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["of"]) & (texts["\x00key"] == spans["by"]), "left").select("\x00text", "spans", *(texts[c] for c in kept))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 0, 8_000_000):
             out, gone, cuts = [], [], []
             for text, found in zip(batch.column(0), batch.column(1), strict=True):
                 cut = runs([(s["start"], s["stop"]) for s in found.as_py()], min_bytes) if found.is_valid else []

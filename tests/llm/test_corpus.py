@@ -266,3 +266,17 @@ def test_a_query_of_frequent_words_only():
     s = topk.Segment({k: made[k].astype(kind).tobytes() for k, kind in topk._FIELDS.items()})
     s.prepare(2.0)
     assert [n for _, n in s.search(np.array([5], np.uint64), np.array([1.0]), 3)] == [0, 1, 2]
+
+
+def test_unique_text_stays_beside_repeats_under_one_id(spark):
+    rng = random.Random(31)
+    passage, alone = prose(rng, 60), [prose(rng, 150) for _ in range(3)]
+    rows = [(1, f"{prose(rng, 50)} {passage}"), (2, passage), (2, alone[0]), (None, f"{passage} {prose(rng, 9)}"), (None, alone[1]), (3, alone[2]), (3, alone[2]), (4, f"{alone[2]} {prose(rng, 40)}"), (5, "x" * 3_000_000 + prose(rng, 200_000))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [(r.doc_id, r.text) for r in got]
+    assert sorted(texts, key=repr) != sorted(rows, key=repr) and len(got) == len(rows)
+    for row in [rows[0], rows[2], rows[4], rows[5]]:
+        assert row in texts
+    assert texts.count(rows[5]) == 2
+    short = {r.doc_id: r.removed_bytes for r in got if r.text not in {alone[0], alone[1], alone[2]}}
+    assert short[2] > 300 and short[None] > 250 and short[4] > 900 and short[1] == 0
