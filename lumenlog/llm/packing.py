@@ -4,7 +4,8 @@ Every document is cut at multiples of the capacity; whole pieces fill a
 sequence each, and the tails, of at most capacity - 1 tokens, are packed. The
 linear program has a row for each tail length (at most capacity - 1, whatever
 the corpus) and a column for each pattern, a multiset of lengths that fits.
-Columns are priced by a knapsack dynamic program over the capacity. Rounded
+Columns are priced by a knapsack dynamic program over the capacity, until no
+pattern improves or its bound shows that no whole sequence can be saved. Rounded
 down, the patterns' counts give slots; the few tails left over go best-fit into
 further sequences. A tail's rank among those of its length picks its slot, so
 all that the driver sees is the length histogram.
@@ -12,6 +13,7 @@ all that the driver sees is the length histogram.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -27,6 +29,10 @@ from .textbytes import slices
 from .tokens import library_coder, worker_coder
 
 
+#: A plan this close to the bound is good enough, if it needs more whole sequences; a pattern improves if it is worth more than one sequence by more than this.
+GAP, IMPROVES = 5e-5, 1e-7
+
+
 def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
     """Patterns, their counts and their matrix. Each uses up one length that later ones lack, so the matrix is triangular in that order."""
     left, alive, m = demand.astype(np.float64), list(range(len(lengths))), len(lengths)
@@ -47,8 +53,8 @@ def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tu
     return columns, x, matrix
 
 
-def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The most worth that fits, and the pattern that has it."""
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to capacity the most worth that fits, and which length's piece comes last there (-1: none, as with one token less)."""
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
     for used in range(int(lengths[0]), capacity + 1):
@@ -57,58 +63,95 @@ def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[flo
         best[used] = best[used - 1]
         if value[j] > best[used]:
             best[used], took[used] = value[j], j
-    pattern, at = Counter(), capacity
-    while at > 0:
-        if took[at] < 0:
-            at -= 1
-        else:
-            pattern[int(took[at])] += 1
-            at -= int(lengths[took[at]])
-    return float(best[capacity]), pattern
+    return best, took
 
 
-def column_generation(demand: dict[int, int], capacity: int, gap: float = 0.002, rounds: int = 150) -> tuple[list[tuple[dict[int, int], float]], float]:
+def pattern_within(lengths: np.ndarray, took: np.ndarray, room: int) -> Counter:
+    """The knapsack's pattern for this room."""
+    pattern: Counter = Counter()
+    while room > 0:
+        if took[room] < 0:
+            room -= 1
+        else:
+            pattern[int(took[room])] += 1
+            room -= int(lengths[took[room]])
+    return pattern
+
+
+class Basis:
+    """A basis of the master program: patterns, their counts, and its inverse as a dense matrix and the factors of the last pivots."""
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int, factors: int = 64):
+        self.columns, self.x, matrix = starting_basis(lengths, demand, capacity)
+        self.dense = np.linalg.inv(matrix)
+        self.price = self.dense.sum(axis=0)
+        self.left, self.right, self.k = np.zeros((len(lengths), factors)), np.zeros((factors, len(lengths))), 0
+
+    def enter(self, pattern: Counter) -> bool:
+        """Pivot the pattern in, if it improves at the basis' prices."""
+        rows, copies = np.fromiter(pattern, dtype=np.int64), np.fromiter(pattern.values(), dtype=np.float64)
+        if self.price[rows] @ copies <= 1 + IMPROVES:
+            return False
+        k = self.k
+        enters = self.dense[:, rows] @ copies + self.left[:, :k] @ (self.right[:k, rows] @ copies)
+        can = np.flatnonzero(enters > 1e-9)
+        out = int(can[np.argmin(self.x[can] / enters[can])])
+        step = self.x[out] / enters[out]
+        self.x = np.maximum(self.x - step * enters, 0)
+        self.x[out], self.columns[out] = step, pattern
+        row = (self.dense[out] + self.left[out, :k] @ self.right[:k]) / enters[out]
+        enters[out] -= 1
+        self.price = self.price - enters.sum() * row
+        self.left[:, k], self.right[k] = -enters, row
+        self.k = k + 1
+        if self.k == len(self.right):
+            self.dense += self.left @ self.right
+            self.price, self.k = self.dense.sum(axis=0), 0
+        return True
+
+
+def column_generation(demand: dict[int, int], capacity: int, gap: float = GAP, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], float]], float]:
     """Patterns with fractional counts that cover demand (length -> number) by the fewest sequences.
 
-    Prices are smoothed towards the best bound's, which is Farley's. Ends when
-    the number is within gap of that bound, or after rounds pivots: every basis
-    on the way is a valid plan. Returns the plan, and its value over the bound.
+    A knapsack at given prices yields the best pattern that holds each length,
+    and a bound on every plan (Farley's). It is asked at prices in proportion to
+    length first, then at the basis' prices, smoothed towards the best bound's;
+    patterns that improve are pivoted in. Ends when none does, when the plan
+    needs no more whole sequences than the bound, or when it is within gap of
+    it; after so many rounds of pricing only if rounds is given. Every basis on
+    the way is a valid plan. Returns the plan, and its value over the bound.
     """
     if not demand:
         return [], 1.0
     lengths = np.array(sorted(demand), dtype=np.int64)
     wanted = np.array([demand[int(n)] for n in lengths], dtype=np.float64)
-    columns, x, matrix = starting_basis(lengths, wanted, capacity)
-    centre = lengths / capacity
-    bound, inverse = float(centre @ wanted), None
-    for _ in range(rounds):
-        if x.sum() <= bound * (1 + gap):
-            break
-        if inverse is None:
-            inverse = np.linalg.inv(matrix)
-        price = inverse.sum(axis=0)
-        for share in (0.5, 0.0):
-            at = share * centre + (1 - share) * price
-            most, pattern = knapsack(lengths, at, capacity)
-            if at @ wanted / most > bound:
-                bound, centre = float(at @ wanted / most), at / most
-            rows, copies = np.fromiter(pattern, dtype=np.int64), np.fromiter(pattern.values(), dtype=np.float64)
-            if gains := price[rows] @ copies > 1 + 1e-7:
+    # Demands a little apart: then no two patterns run out at once, every pivot improves, and pivots end.
+    basis = Basis(lengths, wanted * (1 + 1e-9 * np.random.default_rng(5).random(len(wanted))), capacity)
+    bound, centre, done = 0.0, lengths / capacity, 0
+    while True:
+        entered = 0
+        for share in (0.5, 0.0) if done else (1.0,):
+            at = share * centre + (1 - share) * basis.price
+            best, took = knapsack(lengths, at, capacity)
+            if at @ wanted / best[-1] > bound:
+                bound, centre = float(at @ wanted / best[-1]), at / best[-1]
+            worth = at + best[capacity - lengths]
+            for j in np.argsort(-worth, kind="stable").tolist():
+                if worth[j] <= 1 + IMPROVES:
+                    break
+                pattern = pattern_within(lengths, took, capacity - int(lengths[j]))
+                pattern[j] += 1
+                entered += basis.enter(pattern)
+            if entered:
                 break
-        if not gains:
+        value = float(basis.x.sum())
+        done += 1
+        if value <= max(bound * (1 + gap), math.ceil(bound - 1e-6) if gap else 0) or (not entered and done > 1) or done == rounds:
             break
-        enters = inverse[:, rows] @ copies
-        can = np.flatnonzero(enters > 1e-9)
-        out = int(can[np.argmin(x[can] / enters[can])])
-        step, row = x[out] / enters[out], inverse[out] / enters[out]
-        inverse -= np.outer(enters, row)
-        inverse[out] = row
-        x = np.maximum(x - step * enters, 0)
-        x[out], columns[out] = step, pattern
-    return [({int(lengths[i]): n for i, n in p.items()}, float(v)) for p, v in zip(columns, x, strict=True)], float(x.sum() / bound)
+    return [({int(lengths[i]): n for i, n in p.items()}, float(v)) for p, v in zip(basis.columns, basis.x, strict=True)], value / bound
 
 
-def plan(histogram: dict[int, int], capacity: int, gap: float = 0.002) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int, gap: float = GAP) -> np.ndarray:
     """Slots for all pieces: rows (length, first rank, copies in a sequence, first sequence, offset), by length and first rank.
 
     A piece of this length and rank r >= first takes sequence first_sequence +
@@ -173,7 +216,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     return docs.select(docs[id_col], text_or_empty(text_col).alias(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, k long, part long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", gap: float = 0.002) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", gap: float = GAP) -> DataFrame:
     """Sequences of at most capacity tokens: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     A document is its ids by the tokenizers library and then end_id; each id

@@ -1,6 +1,8 @@
 """Encoding, decoding and packing against the tokenizers library."""
 
 import hashlib
+import math
+import os
 import random
 import zlib
 
@@ -94,3 +96,26 @@ def test_column_generation_beats_its_start():
     assert ratio < 1.001
     for length, n in demand.items():
         assert sum(p.get(length, 0) * x for p, x in plan) == pytest.approx(n)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_prices_decide_when_the_plan_is_done(scale, monkeypatch):
+    table = pytest.importorskip("pyarrow.parquet")
+    path = f"/root/testdata/{scale}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    coder = tokens.library_coder(PATH)
+    histogram = {}
+    for text in table.read_table(path, columns=["text"])["text"].to_pylist():
+        n = (len(coder.encode(text or "")) + 1) % 2048
+        if n:
+            histogram[n] = histogram.get(n, 0) + 1
+    asked = []
+    price = packing.knapsack
+    monkeypatch.setattr(packing, "knapsack", lambda *a: asked.append(1) or price(*a))
+    plan, ratio = packing.column_generation(histogram, 2048)
+    value, bound = sum(x for _, x in plan), sum(x for _, x in plan) / ratio
+    assert asked and (math.ceil(value - 1e-6) == math.ceil(bound - 1e-6) or ratio <= 1 + packing.GAP)
+    for length, n in histogram.items():
+        assert sum(p.get(length, 0) * x for p, x in plan) == pytest.approx(n)
+    assert scale != "sf0.001" or len(asked) > 10  # the greedy start needs a sequence more there
