@@ -40,6 +40,7 @@ ENDS = {
 }
 #: Elements beyond which nothing is ended by implication.
 SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form td th blockquote object canvas datalist".split())
+_STOPS = {tag: SCOPE - ended for tag, ended in ENDS.items()}
 TAGS = "html head body div p article section main aside nav header footer form ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset details".split()
 #: Attribute tokens and roles that tell of text and of what surrounds it.
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text page column blog news hentry prose richtext".split())
@@ -51,7 +52,7 @@ SIDE_WORDS = frozenset(
     toolbar tags tagcloud meta byline author skip legal disclaimer privacy contentinfo complementary""".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>]))*+)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>" + (rf"|<{t}(?=[\s/>])" if t in ALONE else ""), re.IGNORECASE) for t in RAW}
@@ -134,7 +135,8 @@ def parse(page: str) -> Node:
         ended = ENDS.get(tag)
         if ended:
             up = now
-            while up.parent is not None and up.tag not in SCOPE - ended:
+            stops = _STOPS[tag]
+            while up.parent is not None and up.tag not in stops:
                 if up.tag in ended:
                     now = up.parent
                 up = up.parent
