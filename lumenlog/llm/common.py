@@ -38,6 +38,24 @@ def drop(*tables: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def split_by(df: DataFrame, key: Column, wanted: DataFrame, most_bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose key may be among those of wanted (one column), and rows whose key isn't; a null key isn't.
+
+    A filter of 16 bits for each wanted key, at most 2^most_bits, is joined by
+    broadcast as rows of 64 bits (16 MB at the default's most). Only rows of the
+    first part then need a shuffle; a full filter lets more pass, never fewer.
+    """
+    bits = min(most_bits, max(8, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    at = place(F.col(wanted.columns[0]))
+    words = wanted.select(F.shiftright(at, 6).alias("\x00word"), F.expr("1L").alias("one"), at.bitwiseAND(63).cast("int").alias("at"))
+    words = words.groupBy("\x00word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("\x00bits"))
+    spot = place(key)
+    flagged = df.withColumn("\x00at", spot).join(F.broadcast(words), F.shiftright("\x00at", 6) == F.col("\x00word"), "left")
+    may = key.isNotNull() & F.coalesce(F.expr("(shiftright(`\x00bits`, cast(`\x00at` & 63 as int)) & 1) = 1"), F.lit(False))
+    return flagged.where(may).select(*df.columns), flagged.where(~may).select(*df.columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

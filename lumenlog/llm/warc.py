@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -22,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, scratch
+from .common import need, scratch, split_by
+from .textbytes import slices
 
 #: Fixed values of the ARC formats: the fields of a record's line, by the version that the version block names.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     "2": ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
+_ARC_FRONT = re.compile(r"(.*?) (\S+) (\d{4,14}) (.*)")
 WARC_VERSION = "WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: The HTTP header that carries a page's id through the archives.
@@ -53,6 +56,16 @@ class WarcRecord:
         return self.headers["WARC-Type"]
 
 
+@dataclass(frozen=True)
+class Original:
+    """The response that a revisit refers to; name: its page's id."""
+
+    record_id: str
+    url: str
+    date: str
+    name: str
+
+
 def base32_digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -67,38 +80,52 @@ def arc_version_block(name: str, version: str, date: str) -> bytes:
     return " ".join(extra).encode() + b"\n" + body + b"\n"
 
 
+def shown_url(url: str) -> str:
+    """A URL as a record's line has it: percent-encoded beyond printable ASCII; no URL is "-"."""
+    return "".join(chr(b) if 0x20 < b < 0x7F else f"%{b:02X}" for b in url.encode()) or "-"
+
+
 def arc_record(url: str, date: str, block: bytes, version: str, name: str = "-", mime: str = "text/html", ip: str = "0.0.0.0") -> bytes:
-    """A record; white space in the URL, which would end the field, is percent-encoded, and no URL is "-"."""
-    shown = "".join(f"%{b:02X}" if b <= 0x20 or b == 0x7F else chr(b) if b < 0x80 else f"%{b:02X}" for b in url.encode()) or "-"
+    """A record, its URL as shown_url has it."""
+    shown = shown_url(url)
     extra = ["200", base64.b32encode(hashlib.sha1(block).digest()).decode(), "-", "0", name] if version == "2" else []
     return " ".join([shown, ip, date, mime, *extra, str(len(block))]).encode() + b"\n" + block + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records behind the version block, which says how to read their lines."""
+def _arc_fields(line: str, names: list[str]) -> dict[str, str] | None:
+    """A record line's fields. Those behind the content type are taken from the right, as URLs and content types can hold spaces."""
+    front, *tail = line.rsplit(" ", len(names) - 4)
+    found = _ARC_FRONT.fullmatch(front) if len(tail) == len(names) - 4 and tail[-1].isdigit() else None
+    return dict(zip(names, [*found.groups(), *tail], strict=True)) if found else None
+
+
+def read_arc(data: bytes, version_block: bool = False) -> Iterator[ArcRecord]:
+    """The records behind the version block, which says how to read their lines; with version_block, that too."""
     at, names = 0, None
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        size = int(line.split(" ")[-1]) if line.split(" ")[-1].isdigit() else -1
         if names is None:
-            if not values[0].startswith("filedesc://"):
+            if not line.startswith("filedesc://") or size < 0:
                 raise ValueError("an ARC file starts with a version block")
-            size = int(values[-1])
-            lines = data[end + 1 : end + 1 + size].decode().splitlines()
-            version = lines[0].split(" ")[0]
+            lines = data[end + 1 : end + 1 + size].decode("utf-8", "replace").splitlines()
+            version = lines[0].split(" ")[0] if lines else ""
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version!r} is not known")
             names = ARC_FIELDS[version]
+            if version_block:
+                yield ArcRecord(_arc_fields(line, names) or dict(zip(ARC_FIELDS["1"], [*line.split(" ")[:4], str(size)], strict=False)), data[end + 1 : end + 1 + size])
         else:
-            if len(values) != len(names):
-                raise ValueError(f"an ARC record's line has {len(values)} fields, not {len(names)}: {values[0][:80]!r}")
-            size = int(values[-1])
+            fields = _arc_fields(line, names)
+            if fields is None:
+                raise ValueError(f"an ARC record's line doesn't have the {len(names)} fields of its version: {line[:80]!r}")
             if end + 1 + size > len(data):
                 raise ValueError(f"an ARC record declares {size} bytes, {len(data) - end - 1} are there")
-            yield ArcRecord(dict(zip(names, values, strict=True)), data[end + 1 : end + 1 + size])
+            yield ArcRecord(fields, data[end + 1 : end + 1 + size])
         at = end + 1 + size
 
 
@@ -109,25 +136,35 @@ def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     return head + gap, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
-def to_warc(record: ArcRecord, refers_to: str | None = None) -> WarcRecord:
-    """The WARC record of an old one; a revisit, without the payload, if it refers to another."""
-    head, _, payload = split_http(record.block)
-    date = record.fields["Archive-date"].ljust(14, "0")
-    block = head if refers_to is not None else record.block
-    identity = f"{record.fields['URL']} {record.fields['Archive-date']} {hashlib.sha1(record.block).hexdigest()}"
-    headers = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(ID_SPACE, identity)}>",
-        "WARC-Date": f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
-        "WARC-Target-URI": record.fields["URL"],
-        "WARC-IP-Address": record.fields["IP-address"],
-        "WARC-Payload-Digest": base32_digest(payload),
-        "WARC-Block-Digest": base32_digest(block),
-        "Content-Type": "application/http; msgtype=response",
-        "Content-Length": str(len(block)),
-    }
-    if refers_to is not None:
-        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To-Page": refers_to}
+def warc_date(date: str) -> str:
+    """An ARC date of four to fourteen digits; what it leaves out is the first month, day, hour, minute and second."""
+    whole = date + "00000101000000"[len(date) :]
+    return f"{whole[:4]}-{whole[4:6]}-{whole[6:8]}T{whole[8:10]}:{whole[10:12]}:{whole[12:14]}Z"
+
+
+def record_id(url: str, date: str, block: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(ID_SPACE, f'{url} {date} {hashlib.sha1(block).hexdigest()}')}>"
+
+
+def to_warc(record: ArcRecord, original: Original | None = None) -> WarcRecord:
+    """The WARC record of an old one: a version block is a warcinfo, an HTTP message a response, anything else (dns:, ftp:) a resource of its own content type.
+
+    With original, the response whose payload this one repeats, it is a revisit
+    without the payload.
+    """
+    url, date = record.fields["URL"], record.fields["Archive-date"]
+    about = url.startswith("filedesc://")
+    http = not about and record.block.startswith(b"HTTP/")
+    head, _, payload = split_http(record.block) if http else (b"", {}, record.block)
+    block = record.block if original is None else head
+    headers = {"WARC-Type": "warcinfo" if about else "revisit" if original is not None else "response" if http else "resource", "WARC-Record-ID": record_id(url, date, record.block), "WARC-Date": warc_date(date)}
+    if about:
+        headers["WARC-Filename"] = url.removeprefix("filedesc://")
+    else:
+        headers |= {"WARC-Target-URI": url, "WARC-IP-Address": record.fields["IP-address"], "WARC-Payload-Digest": base32_digest(payload)}
+    headers |= {"WARC-Block-Digest": base32_digest(block), "Content-Type": "application/http; msgtype=response" if http else record.fields["Content-type"], "Content-Length": str(len(block))}
+    if original is not None:
+        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": original.record_id, "WARC-Refers-To-Target-URI": original.url, "WARC-Refers-To-Date": warc_date(original.date), "WARC-Refers-To-Page": original.name}
     return WarcRecord(headers, block)
 
 
@@ -154,10 +191,11 @@ def read_warc(data: bytes) -> Iterator[WarcRecord]:
         at = end + 8 + size
 
 
-def convert(arc: bytes, refers_to=lambda http_headers: None) -> Iterator[WarcRecord]:
-    """An ARC file's records as WARC records. refers_to: from an HTTP head's fields to the response that a record repeats."""
-    for record in read_arc(arc):
-        yield to_warc(record, refers_to(split_http(record.block)[1]))
+def convert(arc: bytes, originals: Iterable[Original | None] = (), warcinfo: bool = False) -> Iterator[WarcRecord]:
+    """An ARC file's records as WARC records; with warcinfo, its version block too, first. originals: in the records' order, the response that each repeats, if any."""
+    told = iter(originals)
+    for record in read_arc(arc, warcinfo):
+        yield to_warc(record, None if record.fields["URL"].startswith("filedesc://") else next(told, None))
 
 
 def archive_pages(pages: DataFrame, least: int = 1000, segment_bytes: int = 4_000_000, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -165,37 +203,44 @@ def archive_pages(pages: DataFrame, least: int = 1000, segment_bytes: int = 4_00
 
     Of rows with equal payloads of at least `least` bytes, those with the
     largest id are responses and the others revisit it; smaller payloads are
-    all responses. Which rows have company is counted from digests alone; only
-    digests that repeat are joined back. A null html is an empty payload; a
-    null id is smaller than any, and a group of null ids only is all responses.
+    all responses. Which rows have company is counted from digests alone; of the
+    payloads only those whose digest repeats, and a few others, are shuffled. A
+    null html is an empty payload, a null url "-"; a null id is smaller than
+    any, and a group of null ids only is all responses. An empty table gives no
+    rows; other columns are not read.
     """
     need(pages, id_col, url_col, html_col)
     rows = pages.select(pages[id_col].cast("string").alias("id"), pages[id_col].alias("number"), F.coalesce(pages[url_col].cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(pages[html_col].cast("string"), F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.withColumn("digest", F.when(F.length("payload") >= least, F.sha1("payload")))
-    repeats = keyed.where("digest is not null").groupBy("digest").agg(F.max("number").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("largest").cast("string").alias("largest"))
-    joined = keyed.join(repeats, keyed["digest"] == repeats["d"], "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers"))
+    top = keyed.where("digest is not null").groupBy("digest").agg(F.max(F.struct("number", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    repeats = scratch(top.select(F.col("digest").alias("d"), F.col("top.number").cast("string").alias("largest"), F.col("top.url").alias("its_url")), "repeats")
+    some, others = split_by(keyed, F.col("digest"), repeats.select("d"))
+    refers = F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest"))
+    joined = some.join(repeats, some["digest"] == repeats["d"], "left").select("id", "url", "payload", refers.alias("refers"), "its_url")
+    joined = joined.union(others.select("id", "url", "payload", F.lit(None).cast("string"), F.lit(None).cast("string")))
 
     def run(batches):
         part, segment = TaskContext.get().partitionId(), 0
         version = "12"[part % 2]
         name = f"pages-{part:06d}"
         opening = arc_version_block(name + ".arc", version, date)
-        records, size, refers = [], 0, {}
+        records, size, originals = [], 0, []
+
+        def message(i: str | None, payload: bytes) -> bytes:
+            return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n{ID_HEADER}: {'' if i is None else i}\r\n\r\n".encode() + payload
 
         def flush():
-            warc = b"".join(gzip.compress(write_warc(w), 1, mtime=0) for w in convert(opening + b"".join(records), lambda http: refers.get(http["X-Row"])))
+            warc = b"".join(gzip.compress(write_warc(w), 1, mtime=0) for w in convert(opening + b"".join(records), originals, warcinfo=True))
             return pa.RecordBatch.from_arrays([pa.array([name + ".warc.gz"]), pa.array([segment]), pa.array([warc], type=pa.binary())], ["archive", "segment", "content"])
 
-        for batch in batches:
-            for i, url, payload, to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n{ID_HEADER}: {'' if i is None else i}\r\nX-Row: {len(records)}\r\n\r\n"
-                if to is not None:
-                    refers[str(len(records))] = to
-                records.append(arc_record(url, date, head.encode() + payload, version, name + ".arc"))
+        for batch in slices(batches, 2):
+            for i, url, payload, to, its_url in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                records.append(arc_record(url, date, message(i, payload), version, name + ".arc"))
+                originals.append(None if to is None else Original(record_id(shown_url(its_url), date, message(to, payload)), shown_url(its_url), date, to))
                 size += len(records[-1])
                 if size >= segment_bytes:
                     yield flush()
-                    records, size, refers, segment = [], 0, {}, segment + 1
+                    records, size, originals, segment = [], 0, [], segment + 1
         if records:
             yield flush()
 
@@ -214,6 +259,8 @@ def read_pages(archives: DataFrame, id_type: str = "bigint", id_col: str = "page
             for content in batch.column(0):
                 rows = []
                 for record in read_warc(gzip.decompress(content.as_py())):
+                    if record.type not in ("response", "revisit"):
+                        continue
                     _, http, payload = split_http(record.block)
                     whole = record.type == "response"
                     digest = hashlib.sha1(payload).hexdigest() if whole else hex_digest(record.headers["WARC-Payload-Digest"])

@@ -140,3 +140,47 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     url_filter.build_index([url_filter.Rule("a.org", "/x", "block"), url_filter.Rule("b.org", "/", "allow")], path)
     found = url_filter.DigestIndex(path).find([("s.a.org", "/xy"), ("b.org", "/q"), ("c.org", "/")])
     assert found == [("a.org/x", "block"), ("b.org/", "allow"), None]
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_arc_records_of_all_kinds(version):
+    http = b"HTTP/1.1 200 OK\r\n\r\nx"
+    tail = " 200 abc - 0 a.arc" if version == "2" else ""
+    data = warc.arc_version_block("a.arc", version, "20240101000000")
+    data += f"http://a/b c 1.2.3.4 2001 text/html; charset=x{tail} {len(http)}\n".encode() + http + b"\n"
+    data += warc.arc_record("dns:a.org", "200102", b"20010203040506\na.org 1 IN A 1.2.3.4\n", version, mime="text/dns")
+    data += warc.arc_record("http://c", "20010203040506", http, version)
+    first = warc.Original("<urn:uuid:0>", "http://a/b c", "2001", "7")
+    info, page, name, again = warc.convert(data, [None, None, first], warcinfo=True)
+    assert [r.type for r in (info, page, name, again)] == ["warcinfo", "response", "resource", "revisit"]
+    assert info.headers["Content-Type"] == "text/plain" and info.headers["WARC-Filename"] == "a.arc" and "WARC-Target-URI" not in info.headers
+    assert page.headers["WARC-Date"] == "2001-01-01T00:00:00Z" and page.headers["WARC-Target-URI"] == "http://a/b c" and page.block == http
+    assert name.headers["Content-Type"] == "text/dns" and name.headers["WARC-Date"] == "2001-02-01T00:00:00Z" and name.block.startswith(b"2001")
+    assert again.headers["WARC-Refers-To"] == "<urn:uuid:0>" and again.headers["WARC-Refers-To-Date"] == "2001-01-01T00:00:00Z" and again.block == b"HTTP/1.1 200 OK\r\n\r\n"
+    assert again.headers["WARC-Payload-Digest"] == page.headers["WARC-Payload-Digest"]
+    with pytest.raises(ValueError, match="fields of its version"):
+        list(warc.read_arc(data + b"http://x text/html 3\nabc\n"))
+
+
+def test_revisits_refer_to_records_that_are_there(spark):
+    rows = [(i, f"http://x/{i} {i}", "p" * 2000 if i % 2 else "q" * i) for i in range(1, 12)]
+    records = []
+    for row in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        records += warc.read_warc(warc.gzip.decompress(row["content"]))
+    there = {r.headers["WARC-Record-ID"]: r for r in records}
+    revisits = [r for r in records if r.type == "revisit"]
+    assert len(revisits) == 5 and len(there) == len(records)
+    for r in revisits:
+        target = there[r.headers["WARC-Refers-To"]]
+        assert target.type == "response" and target.headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"]
+        assert target.headers["WARC-Target-URI"] == r.headers["WARC-Refers-To-Target-URI"] and r.headers["WARC-Refers-To-Page"] == "11"
+
+
+def test_quotes_in_unquoted_values_and_many_siblings(model):
+    page = ARTICLE.format("<p title=it's>One more part of the text.</p><p data-x=\"a>b\" title='<p>'>And another part of it.</p>")
+    text = html_extract.main_text(f"<html><body>{page}</body></html>", model)
+    assert "One more part of the text." in text and "And another part of it." in text and "title=" not in text and ">" not in text
+    many = "<html><body><article>" + "<p>some words of it</p>" * 100_000 + "</article></body></html>"
+    assert html_extract.main_text(many, model).count("some words of it") == 100_000
+    cut = html_extract.main_text("<html><body><article><p>A text that is long enough to be kept, and goes on.</p><p class=" + 'a="b" ' * 20_000, model)
+    assert cut.startswith("A text that")
