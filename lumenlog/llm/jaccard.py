@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, need, scratch, text_or_empty
+from .common import drop, need, scratch, split_by, text_or_empty
 from .components import connected
 from .textbytes import LOWER, mixed, packed, release, slices, span_hashes, text_bytes, unpacked, words
 
@@ -324,4 +324,5 @@ def _same_document(found: DataFrame, sets: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest; rows without an id stay, as do repeated rows of a kept id. Edge cases as in components; no rows give no rows."""
     gone = scratch(components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    some, others = split_by(docs, docs["doc_id"], gone)
+    return others.union(some.join(gone, some["doc_id"] == gone["gone"], "left_anti"))

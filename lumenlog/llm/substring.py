@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, need, scratch, text_or_empty
+from .common import drop, need, scratch, split_by, text_or_empty
 from .textbytes import PAD, mixed, packed, release, slices, span_hashes, text_bytes, unpacked
 
 WINDOW, REACH = 16, 28
@@ -238,8 +238,8 @@ def dedup(docs: DataFrame, min_bytes: int = 64, extra: list[str] = ()) -> DataFr
 
     Repeated chunks are shuffled by digest twice: as counts, combined before,
     and against the repeated digests, a join that Spark splits where a passage
-    is in a third of all texts. Texts are shuffled by row. A document's spans are
-    at most its chunks.
+    is in a third of all texts. Only texts with repeats, and a few others, are
+    shuffled. A document's spans are at most its chunks.
     """
     need(docs, "doc_id", "text")
     pieces = repeated_chunks(docs)
@@ -251,7 +251,9 @@ def dedup(docs: DataFrame, min_bytes: int = 64, extra: list[str] = ()) -> DataFr
     kept = ["doc_id", *extra]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     texts = docs.select(docs["text"].alias("\x00text"), F.xxhash64(text_or_empty()).alias("\x00key"), *(docs[c] for c in kept))
-    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["of"]) & (texts["\x00key"] == spans["by"]), "left").select("\x00text", "spans", *(texts[c] for c in kept))
+    some, others = split_by(texts, texts["\x00key"], spans.select("by").distinct())
+    whole = others.select("\x00text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), *kept)
+    joined = whole.union(some.join(spans, some["doc_id"].eqNullSafe(spans["of"]) & (some["\x00key"] == spans["by"]), "left").select("\x00text", "spans", *(some[c] for c in kept)))
 
     def run(batches):
         for batch in slices(batches, 0, 8_000_000):
