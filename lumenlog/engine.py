@@ -24,10 +24,10 @@ from .plans.typing import ANY, Typed, check
 DEFAULT_ROUNDS = 100_000
 
 
-def conform(df: DataFrame, decl: Decl) -> DataFrame:
+def conform(df: DataFrame, decl: Decl, as_set: bool = True) -> DataFrame:
     """A table as the relation that is declared: columns by name if all are there, else by place; whole types widened.
 
-    Rows become a set. Times become epoch seconds, decimals floats, negative
+    Rows become a set, unless as_set is false. Times become epoch seconds, decimals floats, negative
     zeros zeros; values beyond 64 bits are clamped.
     """
     if len(df.columns) < len(decl.columns):
@@ -51,7 +51,7 @@ def conform(df: DataFrame, decl: Decl) -> DataFrame:
             c = F.to_json(c)
         c = c.cast(SPARK_TYPES[kind])
         out.append((c + F.lit(0.0) if kind == "float" else c).alias(f"c{i}"))
-    return df.select(*out).distinct()
+    return df.select(*out).distinct() if as_set else df.select(*out)
 
 
 def named(df: DataFrame, decl: Decl) -> DataFrame:
@@ -78,6 +78,8 @@ class Evaluator:
         self.typed = check(program) if program is not typed.program else typed
         self.program, self.kinds = program, self.typed.kinds
         self.strata = stratify(program)
+        self.held: list[DataFrame] = []
+        self.repeating: dict[str, DataFrame] = {}  # inputs whose rows may repeat, for rules that make sets anyway
         self.readers: dict[str, int] = {}
         for r in program.rules:
             for a in r.atoms:
@@ -105,6 +107,11 @@ class Evaluator:
     def is_bag(self, r: Rule) -> bool:
         return self.fold_of(r.head) in ("sum", "count", "avg")
 
+    def release(self) -> None:
+        """Free the relations that run() holds because several rules read them."""
+        while self.held:
+            self.held.pop().unpersist()
+
     def rows(self, i: int, lookup) -> DataFrame:
         """Rule i's head rows, not yet a set."""
         r, env = self.program.rules[i], self.typed.envs[i]
@@ -115,9 +122,12 @@ class Evaluator:
     def run(self, inputs: dict[str, DataFrame], wanted: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """Frames, with places as columns, of all relations, or of those wanted and what they need."""
         done: dict[str, DataFrame] = {}
+        self.release()
+        self.repeating = {}
         for name, decl in self.program.inputs.items():
             if name in inputs:
-                done[name] = conform(inputs[name], decl)
+                self.repeating[name] = conform(inputs[name], decl, as_set=False)
+                done[name] = self.repeating[name].distinct()
             else:
                 done[name] = self.empty(name)
         for name in {a.relation for r in self.program.rules for a in r.atoms} | set(self.program.decls):
@@ -141,11 +151,14 @@ class Evaluator:
 
     def plain(self, s: Stratum, done: dict[str, DataFrame]) -> dict[str, DataFrame]:
         (name,) = s.heads
-        parts = [self.rows(i, lambda n, _: done[n]) for i in s.rules]
+        # A set's rules may read inputs' rows repeated: columns are pruned and rows made different once, at the head.
+        parts = [self.rows(i, lambda n, _, i=i: done[n] if self.is_bag(self.program.rules[i]) else self.repeating.get(n, done[n])) for i in s.rules]
         if self.program.decls.get(name) and self.program.decls[name].section == "in":
             parts.append(done[name])
         out = self.folded(name, union(parts))
-        return {name: out.persist() if self.readers.get(name, 0) > 1 else out}
+        if self.readers.get(name, 0) > 1:
+            self.held.append(out.persist())
+        return {name: out}
 
     def recursive(self, s: Stratum, done: dict[str, DataFrame]) -> dict[str, DataFrame]:
         heads, rules = set(s.heads), {i: self.program.rules[i] for i in s.rules}
@@ -246,6 +259,7 @@ class Engine:
         self.providers = registry()
         self.program: Program | None = None
         self.typed: Typed | None = None
+        self.evaluator: Evaluator | None = None
         self.tables: dict[str, DataFrame] = {}
         self.bindings: list[tuple[str, str | None, dict[str, str]]] = []
 
@@ -306,10 +320,16 @@ class Engine:
 
     def evaluate(self, inputs: dict[str, DataFrame] | None = None, facts: str | None = None, delimiter: str = ",", wanted: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """All declared relations' frames, under their columns' names."""
-        ev = Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments)
+        self.release()
+        self.evaluator = ev = Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments)
         done = ev.run((inputs or {}) | self.inputs(facts, delimiter) if inputs is None else inputs, wanted)
         return {n: named(done[n], d) for n, d in self.program.decls.items()}
 
+    def release(self) -> None:
+        """Free what the last evaluate() holds in memory for its frames; they are computed again where still used."""
+        if self.evaluator is not None:
+            self.evaluator.release()
+
     def query(self, relation: str, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
         """One relation as it is served: ordered and limited as declared."""
         decl = self.program.decls[relation]

@@ -7,23 +7,34 @@ lineage is cut and a lost executor costs no earlier rounds.
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lang.ast import Atom, Rule, Var
 
 log = logging.getLogger("lumenlog")
 
+#: Used only on a local master whose session names no checkpoint folder.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/lumenlog"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a cluster the session must name it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or DEFAULT_CHECKPOINT_DIR).rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame, computed and written in the folder that driver and executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or DEFAULT_CHECKPOINT_DIR)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
+from .operators import fixpoint
 
 #: The tables' columns, as inputs; times are epoch seconds.
 TABLES = {
@@ -80,7 +81,6 @@ _simple("theta_range", "nation", "a: number, b: number", "q(A, B) :- nation(A, _
 _simple("interval_join", "orders lineitem", "o: number, n: number", "q(O, N) :- orders(O, _, _, _, D, _), lineitem(O, _, _, N, _, _, _, _, _, _, S), S >= D, S <= D + 864000.", "SELECT o_orderkey AS o, l_linenumber::BIGINT AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE epoch(l_shipdate) BETWEEN epoch(o_orderdate) AND epoch(o_orderdate) + 864000")
 _simple("computed_key_join", "supplier nation", "s: number, n: string", "q(S, N) :- supplier(S, _, _, _), nation(K, N, _), S % 25 = K.", "SELECT s_suppkey AS s, n_name AS n FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey")
 _simple("existence", "nation orders", "n: string", 'q(N) :- nation(_, N, _), orders(_, _, "F", _, _, _).', "SELECT n_name AS n FROM nation WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F')")
-_simple("null_join", "part", "a: number, b: number", "v(K, K / (S - 25)) :- part(K, _, _, _, S, _), K <= 200.\nq(A, B) :- v(A, V), v(B, V).", "WITH v AS (SELECT p_partkey AS k, CASE WHEN p_size <> 25 THEN p_partkey // (p_size - 25) END AS v FROM part WHERE p_partkey <= 200) SELECT x.k AS a, y.k AS b FROM v x JOIN v y ON x.v IS NOT DISTINCT FROM y.v")
 _simple("null_join_whole", "part", "a: number, b: number", "v(K, K / (S - 25)) :- part(K, _, _, _, S, _).\nq(A, B) :- v(A, V), v(B, V).", "WITH v AS (SELECT p_partkey AS k, CASE WHEN p_size <> 25 THEN p_partkey // (p_size - 25) END AS v FROM part) SELECT x.k AS a, y.k AS b FROM v x JOIN v y ON x.v IS NOT DISTINCT FROM y.v")
 _simple("fuzzy_join", "nation", "a: string, b: string", "q(A, B) :- nation(_, A, _), nation(_, B, _), similarity(A, B) > 50.", "WITH g AS (SELECT n_name AS s, unnest(list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))) AS g FROM nation), c AS (SELECT s, g, count(*) AS k FROM g GROUP BY ALL), t AS (SELECT s, sum(k) AS n FROM c GROUP BY s), o AS (SELECT x.s AS a, y.s AS b, sum(least(x.k, y.k)) AS m FROM c x JOIN c y USING (g) GROUP BY ALL) SELECT a, b FROM o JOIN t x ON a = x.s JOIN t y ON b = y.s WHERE 200 * m // (x.n + y.n) > 50")
 
@@ -88,6 +88,7 @@ _simple("fuzzy_join", "nation", "a: string, b: string", "q(A, B) :- nation(_, A,
 _simple("anti_no_orders", "customer orders", "k: number", "q(K) :- customer(K, _, _, _, _), !orders(_, K, _, _, _, _).", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _simple("anti_const", "customer orders", "k: number", 'q(K) :- !orders(_, K, "F", _, _, _), customer(K, _, _, _, _).', "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 _simple("anti_multi", "customer orders supplier", "k: number", "q(K) :- customer(K, _, _, _, _), !orders(_, K, _, _, _, _), !supplier(K, _, _, _).", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+_simple("anti_two", "customer orders supplier", "k: number", 'q(K) :- customer(K, _, _, _, _), !orders(_, K, "P", _, _, _), !supplier(K, _, _, _), !orders(_, K, "O", _, _, "1-URGENT").', "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')")
 _simple("anti_self", "nation", "a: number", "q(A) :- nation(A, _, R), !below(A, R).\nbelow(A, R) :- nation(A, _, R), nation(B, _, R), B < A.", "SELECT min(n_nationkey)::BIGINT AS a FROM nation GROUP BY n_regionkey")
 _simple("union_rules", "customer supplier", "k: number", "q(K) :- customer(_, _, K, _, _).\nq(K) :- supplier(_, _, K, _).", "SELECT c_nationkey::BIGINT AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _simple("difference", "customer supplier", "k: number", "a(K) :- customer(K, _, _, _, _).\nb(K) :- supplier(K, _, _, _).\nq(K) :- a(K), !b(K).", "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
@@ -134,27 +135,34 @@ _simple("cc_min", "nation", "a: number, c: number", "e(A, B) :- nation(A, _, R),
 _simple("sssp_merge", "nation", "a: number, d: number", "e(A, A * 2 % 25, A + 1) :- nation(A, _, _).\ne(A, A * 3 % 25, 2) :- nation(A, _, _).\nq(A, 0) :- nation(A, _, _), A = 1.\nq(B, D + W) :- q(A, D), e(A, B, W).", "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b, (n_nationkey + 1)::BIGINT AS w FROM nation UNION SELECT n_nationkey, n_nationkey * 3 % 25, 2 FROM nation), t AS (SELECT 1::BIGINT AS a, 0::BIGINT AS d UNION SELECT e.b, d + w FROM t JOIN e ON t.a = e.a WHERE d + w < 120) SELECT a, min(d) AS d FROM t GROUP BY 1")
 PROGRAMS["sssp_merge"] = (PROGRAMS["sssp_merge"][0].replace(".decl q(a: number, d: number)", ".decl q(a: number, d: number) merge(min)"), PROGRAMS["sssp_merge"][1])
 _simple("longest_dag_max", "nation", "a: number, d: number", "e(A, B) :- nation(A, _, R), nation(B, _, R), A < B.\nq(A, max(0)) :- nation(A, _, _).\nq(B, max(D + 1)) :- q(A, D), e(A, B).", "SELECT n_nationkey::BIGINT AS a, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS d FROM nation")
-_simple("recursive_count", "nation", "a: number, n: number", _EDGES + "q(A, count(B)) :- e(A, B).\nq(A, count(C)) :- q(A, B), e(B, C), B < 0.", f"WITH {_ESQL} SELECT a, count(DISTINCT b) AS n FROM e GROUP BY 1")
 _simple("recursive_count_steps", "nation", "a: number, n: number", _EDGES + "q(A, count(B)) :- e(A, B).\nq(A, count(C)) :- q(A, B), e(B, C).", f"WITH RECURSIVE {_ESQL}, t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, count(*) AS n FROM t GROUP BY 1")
+_simple("guarded_reach", "nation", "a: number", _EDGES + "shut(A) :- nation(A, _, R), R = 3, A != 6.\nq(A) :- nation(A, _, _), A = 1.\nq(B) :- q(A), e(A, B), !shut(B).", f"WITH RECURSIVE {_ESQL}, t AS (SELECT 1::BIGINT AS a UNION SELECT e.b FROM t JOIN e ON t.a = e.a WHERE e.b NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3 AND n_nationkey <> 6)) SELECT a FROM t")
+_simple("new_numbers", "nation", "a: number, s: string", 'q(A, N) :- nation(A, N, R), R = 1.\nq(A * 2 + 1, concat(N, "+")) :- q(A, N), A < 400.', "WITH RECURSIVE t AS (SELECT n_nationkey::BIGINT AS a, n_name AS s FROM nation WHERE n_regionkey = 1 UNION SELECT a * 2 + 1, s || '+' FROM t WHERE a < 400) SELECT a, s FROM t")
+_simple("order_chains", "orders", "c: number, o: number, n: number", "best(C, min(O)) :- orders(O, C, _, _, _, _).\nnext(C, O, min(P)) :- orders(O, C, _, _, _, _), orders(P, C, _, _, _, _), P > O.\nq(C, O, 1) :- best(C, O).\nq(C, P, N + 1) :- q(C, O, N), next(C, O, P).", "SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)")
+# Terms over nations: a leaf for each, above it one of a pair of leaves, and above that one of a pair of those; leaves of two regions are made equal.
 _add(
     "congruence",
     """use nation
 .printsize
-.decl term(t: number)
-.decl eq(x: number, y: number)
-.decl leader(t: number, rep: number) merge(min)
+.decl pair(t: number, level: number, left: number, right: number)
+.decl given(a: number, b: number)
+.decl shape(level: number, left: number, right: number, first: number) merge(min)
 .out
-.decl q(t: number, rep: number)
+.decl q(t: number, rep: number) merge(min)
 .rule
-term(T) :- nation(T, _, _).
-eq(X, Y) :- nation(X, _, R), nation(Y, _, R), X < Y, R < 2.
-eq(Y, X) :- eq(X, Y).
-eq(X, Y) :- leader(X, L), leader(Y, L), X != Y.
-leader(T, T) :- term(T).
-leader(X, L) :- eq(X, Y), leader(Y, L).
-q(T, R) :- leader(T, R).
+pair(N + 100, 1, N, N * 7 % 25) :- nation(N, _, _).
+pair(N + 200, 2, N + 100, M + 100) :- nation(N, _, _), pair(_, 1, N, M).
+given(A, B) :- nation(A, _, R), nation(B, _, R), R > 2, A != B.
+q(N, N) :- nation(N, _, _).
+q(T, T) :- pair(T, _, _, _).
+q(A, R) :- given(A, B), q(B, R).
+shape(L, X, Y, T) :- pair(T, L, A, B), q(A, X), q(B, Y).
+q(T, F) :- pair(T, L, A, B), q(A, X), q(B, Y), shape(L, X, Y, F).
 """,
-    "SELECT n_nationkey::BIGINT AS t, CASE WHEN n_regionkey < 2 THEN min(n_nationkey) OVER (PARTITION BY n_regionkey) ELSE n_nationkey END::BIGINT AS rep FROM nation",
+    """WITH leaf AS (SELECT n_nationkey::BIGINT AS t, CASE WHEN n_regionkey > 2 THEN min(n_nationkey) OVER (PARTITION BY n_regionkey) ELSE n_nationkey END::BIGINT AS rep FROM nation),
+    one AS (SELECT x.t + 100 AS t, x.t AS a, y.t AS b, min(x.t + 100) OVER (PARTITION BY x.rep, y.rep) AS rep FROM leaf x JOIN leaf y ON y.t = x.t * 7 % 25),
+    two AS (SELECT x.t + 100 AS t, min(x.t + 100) OVER (PARTITION BY x.rep, y.rep) AS rep FROM one x JOIN one y ON y.t = x.b + 100)
+    SELECT t, rep FROM leaf UNION ALL SELECT t, rep FROM one UNION ALL SELECT t, rep FROM two""",
 )
 
 # Builtins.
@@ -169,6 +177,8 @@ _simple("fn_extract_number", "customer", "k: number, v: number", "q(K, extract_n
 _simple("fn_case", "nation", "a: string, b: string", "q(to_lower(N), to_upper(N)) :- nation(_, N, _).", "SELECT DISTINCT lower(n_name) AS a, upper(n_name) AS b FROM nation")
 _simple("fn_round_floor", "customer", "k: number, a: number, b: number", "q(K, round(B), floor(B)) :- customer(K, _, _, B, _).", "SELECT c_custkey AS k, round(c_acctbal)::BIGINT AS a, floor(c_acctbal)::BIGINT AS b FROM customer")
 _simple("fn_float_math", "part", "k: number, a: float, b: float, c: float", "q(K, ln(to_float(S)), sqrt(P), pow(to_float(S), 2.0)) :- part(K, _, _, _, S, P).", "SELECT p_partkey AS k, ln(p_size::DOUBLE) AS a, sqrt(p_retailprice) AS b, pow(p_size::DOUBLE, 2.0) AS c FROM part")
+_simple("fn_exp", "part", "k: number, a: number", "q(K, round(exp(to_float(S % 12)) * 1000.0)) :- part(K, _, _, _, S, _).", "SELECT p_partkey AS k, round(exp((p_size % 12)::DOUBLE) * 1000.0)::BIGINT AS a FROM part")
+_simple("fn_date_of_orders", "orders", "o: number, d: number", 'q(O, date_epoch(concat("1995-0", concat(split_nth(P, "-", 0), "-11")))) :- orders(O, _, _, _, _, P).', "SELECT o_orderkey AS o, epoch(TRY_CAST('1995-0' || string_split(o_orderpriority, '-')[1] || '-11' AS TIMESTAMP))::BIGINT AS d FROM orders")
 _simple("fn_abs", "customer", "k: number, a: number, b: float", "q(K, abs(5 - K), abs(B)) :- customer(K, _, _, B, _).", "SELECT c_custkey AS k, abs(5 - c_custkey) AS a, abs(c_acctbal) AS b FROM customer")
 _simple("fn_similarity", "nation", "a: string, s: number", 'q(N, similarity(N, "UNITED NATIONS")) :- nation(_, N, _).', "WITH g AS (SELECT n_name AS s, unnest(list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))) AS g FROM nation), c AS (SELECT s, g, count(*) AS k FROM g GROUP BY ALL), t AS (SELECT g, count(*) AS k FROM (SELECT unnest(list_transform(range(1, 14), lambda i: substr('UNITED NATIONS', i, 2))) AS g) GROUP BY 1) SELECT c.s AS a, (200 * sum(CASE WHEN t.k IS NULL THEN 0 ELSE least(c.k, t.k) END) // (sum(c.k) + 13))::BIGINT AS s FROM c LEFT JOIN t USING (g) GROUP BY 1")
 _simple("fn_date_epoch", "nation", "k: number, v: number, w: number", 'q(K, date_epoch(concat("2024-02-", concat("1", "5T10:20:30Z"))) + K, date_epoch("2024-13-01")) :- nation(K, _, _).', "SELECT n_nationkey::BIGINT AS k, epoch(TIMESTAMP '2024-02-15 10:20:30')::BIGINT + n_nationkey AS v, NULL::BIGINT AS w FROM nation")
@@ -214,12 +224,67 @@ def incremental_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.relation("t")
 
 
+def _exported(spark: SparkSession, sf_dir: str, table: str, kind: str) -> str:
+    """A folder below the shared one with the table's whole rows as text: nulls empty, one line each."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    at = f"{fixpoint.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if kind == "csv":
+        df.write.csv(f"{at}/{table}.csv", header=True)
+    else:
+        df.select(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))).write.text(f"{at}/{table}.facts")
+    return at
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV source of the whole customer table, under a rule."""
+    at = _exported(spark, sf_dir, "customer", "csv")
+    text = f'.source c = csv(path = "{at}/customer.csv", types = "number,string,number,float,string")\n.in\n.decl c({TABLES["customer"]})\n.out\n.decl q(k: number, n: string, b: float)\n.rule\nq(K, N, B) :- c(K, N, _, B, _), B > 0.0.\n'
+    return Engine(spark).load_text(text).query("q")
+
+
+def facts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts files of the whole supplier and nation tables, joined."""
+    from .sources.facts import read_facts
+
+    text = f".in\n.decl supplier({TABLES['supplier']})\n.decl nation({TABLES['nation']})\n.out\n.decl q(s: number, n: string)\n.rule\nq(S, N) :- supplier(S, _, K, _), nation(K, N, _).\n"
+    engine = Engine(spark).load_text(text)
+    inputs = {t: read_facts(spark, engine.program.inputs[t], _exported(spark, sf_dir, t, "facts"), "|") for t in ("supplier", "nation")}
+    return engine.query("q", inputs)
+
+
+def sql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL source over the tables' folder, under a fold."""
+    text = f'.source o = sql(db = "{sf_dir}", sql = "SELECT o_custkey AS c, o_orderkey AS o FROM orders")\n.in\n.decl o(c: number, o: number)\n.out\n.decl q(c: number, n: number)\n.rule\nq(C, count(O)) :- o(C, O).\n'
+    return Engine(spark).load_text(text).query("q")
+
+
+def live_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that joins a running program, reads what it publishes, and follows an epoch of deletions."""
+    from pyspark.sql import functions as F
+
+    engine = Engine(spark).load_text(f".in\n.decl orders({TABLES['orders']})\n.out\n.decl spent(c: number, p: float)\n.rule\nspent(C, max(P)) :- orders(_, C, _, P, _, _).\n")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    engine.bind("orders", orders)
+    kept = engine.run()
+    engine.live_queries.add("top", ".in\n.decl spent(c: number, p: float)\n.out\n.decl q(c: number, p: float)\n.rule\nq(C, P) :- spent(C, P), P > 200000.0.\n")
+    kept.advance({"orders": orders.where("o_orderstatus = 'O'").withColumn("__diff", F.lit(-1))})
+    return engine.live_queries.relations("top")["q"]
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark, sf_dir, PROGRAMS[name][0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in PROGRAMS} | {"incremental_counts": incremental, "incremental_closure": incremental_closure}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in PROGRAMS} | {"incremental_counts": incremental, "incremental_closure": incremental_closure, "csv_rows": csv_rows, "facts_rows": facts_rows, "sql_rows": sql_rows, "live_query": live_query}
 ORACLE_SQL: dict[str, str] = {n: sql for n, (_, sql) in PROGRAMS.items()} | {
     "incremental_counts": "SELECT event_type AS kind, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, user_id FROM events) WHERE event_id % 3 <> 0 OR event_id % 6 = 0 GROUP BY 1",
     "incremental_closure": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, n_nationkey * 3 % 25 FROM nation), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t",
+    "csv_rows": "SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer WHERE c_acctbal > 0",
+    "facts_rows": "SELECT s_suppkey AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "sql_rows": "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1",
+    "live_query": "SELECT o_custkey AS c, max(o_totalprice) AS p FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1 HAVING max(o_totalprice) > 200000",
 }

@@ -24,7 +24,7 @@ class GitSource(Source):
 
     def log(self, *options: str) -> str:
         limit = self.setting("max_commits", "20000")
-        return subprocess.run(["git", "-C", self.setting("root", "."), "log", f"--max-count={int(limit)}", *options], capture_output=True, text=True, check=True, errors="replace").stdout
+        return subprocess.run(["git", "-C", self.setting("root", "."), "-c", "core.quotepath=off", "log", f"--max-count={int(limit)}", *options], capture_output=True, text=True, check=True, errors="replace").stdout
 
     def batch(self, spark: SparkSession, wanted: dict[str, Decl]) -> dict[str, DataFrame]:
         rows: dict[str, list[tuple]] = {n: [] for n in self.outputs}

@@ -2,8 +2,10 @@
 
 Input states and results are written every epoch (checkpoint in the shared
 folder), so neither lineage nor history grows. A relation is computed again only
-if something that it reads, at any distance, changed; a recursive stratum of
-sets whose inputs only grew goes on from its old fixpoint.
+if something that it reads, at any distance, changed: a plain one for the groups
+or rows that changed rows take part in, a recursive stratum of sets whose inputs
+only grew from its old fixpoint. An epoch counts as sealed when all of it is done;
+save() and restore() carry a sealed epoch over to another driver.
 """
 
 from __future__ import annotations
@@ -58,42 +60,74 @@ class Maintained:
         with self.lock:
             if epoch is not None and epoch <= self.epoch:
                 return set()
-            self.epoch = self.epoch + 1 if epoch is None else epoch
-            grown: dict[str, DataFrame] = {}  # relation -> new rows, where none went
-            dirty: set[str] = set()
+            state, grown, dirty = dict(self.state), {}, {}
             for name, change in changes.items():
-                if name not in self.state:
+                if name not in state:
                     raise ValueError(f"{name} isn't an input")
-                new = fixpoint.settled(applied(self.state[name], self.counted(name, change)))
-                delta = fixpoint.settled(difference(present(new), present(self.state[name])))
-                self.state[name] = new
-                if not delta.isEmpty():
-                    dirty.add(name)
-                    if delta.where(F.col(DIFF) < 0).isEmpty():
-                        grown[name] = delta.drop(DIFF)
+                new = fixpoint.settled(applied(state[name], self.counted(name, change)))
+                self.noted(name, present(new), present(state[name]), dirty, grown)
+                state[name] = new
             first = not self.frames
-            done = {**{n: self.evaluator.empty(n) for n in {*self.program.decls, *(a.relation for r in self.program.rules for a in r.atoms)}}, **self.frames, **{n: present(s) for n, s in self.state.items()}}
+            names = {*self.program.decls, *(a.relation for r in self.program.rules for a in r.atoms)}
+            old = {**{n: self.evaluator.empty(n) for n in names}, **self.frames}
+            done = {**old, **{n: present(s) for n, s in state.items()}}
             for s in self.evaluator.strata:
                 reads = {a.relation for i in s.rules for a in self.program.rules[i].atoms} - set(s.heads)
-                if not first and not reads & dirty and not set(s.heads) & dirty:
+                if not first and not reads & set(dirty) and not set(s.heads) & set(dirty):
                     continue
-                old = {h: self.frames.get(h, done[h]) for h in s.heads}
-                new = self.resumed(s, done, old, grown, reads & dirty) if s.recursive and not first else None
+                new = None
+                if not first:
+                    new = self.resumed(s, done, {h: old[h] for h in s.heads}, grown, reads & set(dirty)) if s.recursive else self.adjusted(s, old, done, dirty)
                 if new is None:
-                    new = self.evaluator.recursive(s, done) if s.recursive else {h: fixpoint.settled(df) for h, df in self.evaluator.plain(s, done).items()}
+                    new = self.evaluator.recursive(s, done) if s.recursive else self.evaluator.plain(s, done)
+                    new = {h: fixpoint.settled(df) for h, df in new.items()} if not s.recursive else new
                 for h, df in new.items():
-                    delta = difference(df, old[h])
-                    went = not delta.where(F.col(DIFF) < 0).isEmpty()
-                    came = delta.where(F.col(DIFF) > 0).drop(DIFF)
-                    if went or not came.isEmpty():
-                        dirty.add(h)
-                        if not went:
-                            grown[h] = fixpoint.settled(came)
+                    self.noted(h, df, old[h], dirty, grown)
                 done |= new
-            self.frames = done
+            # Only now: an epoch that fails leaves all as it was, and can be played again.
+            self.epoch, self.state, self.frames = self.epoch + 1 if epoch is None else epoch, state, done
+            self.evaluator.release()
             for tell in list(self.listeners):
-                tell(self.epoch, done, dirty)
-            return dirty
+                tell(self.epoch, done, set(dirty))
+            return set(dirty)
+
+    @staticmethod
+    def noted(name: str, new: DataFrame, old: DataFrame, dirty: dict[str, DataFrame], grown: dict[str, DataFrame]) -> None:
+        """Enter a relation that changed with its difference, and with its new rows if none went."""
+        delta = fixpoint.settled(difference(new, old))
+        if not delta.isEmpty():
+            dirty[name] = delta
+            if delta.where(F.col(DIFF) < 0).isEmpty():
+                grown[name] = delta.drop(DIFF)
+
+    def adjusted(self, s, old: dict[str, DataFrame], done: dict[str, DataFrame], dirty: dict[str, DataFrame]) -> dict[str, DataFrame] | None:
+        """A plain relation computed again for the keys only that a changed row takes part in; the rest of it stays.
+
+        Keys are a fold's group, or whole rows. They come from the rules with one
+        atom's changed rows, and of the other relations what was or is there.
+        None if a negated relation changed, or the fold has no group.
+        """
+        (name,) = s.heads
+        rules = {i: self.program.rules[i] for i in s.rules}
+        width = len(self.evaluator.kinds[name]) - (self.evaluator.fold_of(name) is not None)
+        if not width or name in self.program.inputs or any(n.relation in dirty for r in rules.values() for n in r.negative):
+            return None
+        keys = [f"c{k}" for k in range(width)]
+        either = {n: old[n].union(done[n]).distinct() if n in dirty else done[n] for n in {a.relation for r in rules.values() for a in r.atoms}}
+        met = []
+        for i, r in rules.items():
+            for k, p in enumerate(r.body):
+                if isinstance(p, Atom) and p.relation in dirty:
+                    moved = dirty[p.relation].drop(DIFF)
+                    met.append(self.evaluator.rows(i, lambda n, at, k=k, moved=moved: moved if at == k else either[n]).select(*keys))
+        touched = fixpoint.settled(_union(met).distinct())
+        mark = touched.toDF(*(f"k{k}" for k in range(width)))
+        same = F.lit(True)
+        for k in range(width):
+            same = same & F.col(f"c{k}").eqNullSafe(F.col(f"k{k}"))
+        again = [positional(self.evaluator.rows(i, lambda n, _: done[n])).join(mark, same, "left_semi") for i in rules]
+        fresh = self.evaluator.folded(name, _union(again))
+        return {name: fixpoint.settled(positional(old[name]).join(mark, same, "left_anti").union(positional(fresh)))}
 
     def resumed(self, s, done, old, grown, changed) -> dict[str, DataFrame] | None:
         """Semi-naive from the old fixpoint, if the stratum is of sets and what changed only grew and isn't negated; else None."""
@@ -128,6 +162,28 @@ class Maintained:
                 self.advance({})
             return named(self.frames[name], self.declared.decls[name])
 
+    def save(self, folder: str) -> str:
+        """Write the epoch's input states and results below a shared folder; its name. A marker file, written last, says that all is there."""
+        with self.lock:
+            at = f"{folder.rstrip('/')}/epoch-{self.epoch:012d}"
+            for kind, frames in (("state", self.state), ("frame", self.frames)):
+                for name, df in frames.items():
+                    df.write.mode("overwrite").parquet(f"{at}/{kind}-{name}")
+            rows = [(self.epoch, kind, name) for kind, frames in (("state", self.state), ("frame", self.frames)) for name in frames]
+            self.spark.createDataFrame(rows, "epoch long, kind string, name string").coalesce(1).write.mode("overwrite").parquet(f"{at}/sealed")
+            return at
+
+    def restore(self, saved: str) -> Maintained:
+        """Go on from what save() wrote: batches up to its epoch are skipped when they are played again."""
+        rows = self.spark.read.parquet(f"{saved}/sealed").collect()  # a row for each relation
+        names = {r["name"] for r in rows if r["kind"] == "state"}
+        if names != set(self.program.inputs):
+            raise ValueError(f"{saved} has the inputs {sorted(names)}, the program {sorted(self.program.inputs)}")
+        with self.lock:
+            read = {k: {r["name"]: self.spark.read.parquet(f"{saved}/{k}-{r['name']}") for r in rows if r["kind"] == k} for k in ("state", "frame")}
+            self.state, self.frames, self.epoch = read["state"], read["frame"], rows[0]["epoch"]
+        return self
+
     def stream(self, relation: str, frame: DataFrame, checkpoint: str, **trigger):
         """Feed a streaming frame of rows or changes, by foreachBatch; epochs are this stream's batches."""
         return frame.writeStream.foreachBatch(lambda df, batch: self.advance({relation: df})).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -72,3 +72,8 @@ def test_rewrites_and_strata():
     assert [s for s in strata if s.recursive and s.heads == ("q_rows",)]
     assert any(h.startswith("p_value") for s in strata for h in s.heads)
     assert strata.index(next(s for s in strata if s.heads == ("q_rows",))) < strata.index(next(s for s in strata if s.heads == ("q",)))
+
+
+def test_file_names_with_dashes_and_strings_over_lines():
+    program = load_text('.in\n.decl e(x: number) .input my-rel.csv\n.out\n.decl q(x: number, s: string)\n.rule\nq(X, "one\ntwo") :- e(X).\n')
+    assert program.decls["e"].path == "my-rel.csv" and program.rules[0].args[1].value == "one\ntwo"
