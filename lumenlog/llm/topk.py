@@ -70,10 +70,13 @@ def build(docs: np.ndarray, term_of: np.ndarray, bounds: np.ndarray) -> dict[str
     often = np.flatnonzero(np.diff(starts) > max(BLOCK, len(docs) // RARE))
     blocks = -(-len(docs) // BLOCK)
     most, least = np.zeros((len(often), blocks), np.int32), np.full((len(often), blocks), 2**31 - 1, np.int32)
-    for k, term in enumerate(often):
-        at = by_term[starts[term] : starts[term + 1]]
-        np.maximum.at(most[k], d[at] // BLOCK, tf[at])
-        np.minimum.at(least[k], d[at] // BLOCK, sizes[d[at]])
+    size = starts[often + 1] - starts[often]
+    at = by_term[_spans(starts[often], size)]
+    cell = np.repeat(np.arange(len(often)), size) * blocks + d[at] // BLOCK  # never falls, as a term's postings are in order
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else cell
+    if len(first):
+        most.ravel()[cell[first]] = np.maximum.reduceat(tf[at], first)
+        least.ravel()[cell[first]] = np.minimum.reduceat(sizes[d[at]], first)
     return {"docs": docs, "sizes": sizes, "terms": terms, "starts": starts, "post_doc": d[by_term], "post_tf": tf[by_term], "fwd_starts": np.searchsorted(d, np.arange(len(docs) + 1)), "fwd_term": t, "fwd_tf": tf, "often": often, "most_tf": most.ravel(), "least_size": least.ravel()}
 
 
