@@ -280,3 +280,20 @@ def test_unique_text_stays_beside_repeats_under_one_id(spark):
     assert texts.count(rows[5]) == 2
     short = {r.doc_id: r.removed_bytes for r in got if r.text not in {alone[0], alone[1], alone[2]}}
     assert short[2] > 300 and short[None] > 250 and short[4] > len(alone[2]) - 2 * 57 and short[1] == 0
+
+
+def test_nearest_in_lists_that_are_cut_again(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] * 2 + rng.normal(size=(4000, 8))
+    x[500:900] = x[500]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, sample=256, per_list=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(4000), -score.round(10))) if i != q][:20]
+        assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and all(s == pytest.approx(score[i]) for _, i, s in found)
+        hit += len(set(best) & {i for _, i, _ in found})
+    assert len(got) == 200 and hit / (20 * len(got)) > 0.9
