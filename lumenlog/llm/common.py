@@ -53,7 +53,8 @@ def split_by(df: DataFrame, key: Column, wanted: DataFrame, most_bits: int = 26)
     spot = place(key)
     flagged = df.withColumn("\x00at", spot).join(F.broadcast(words), F.shiftright("\x00at", 6) == F.col("\x00word"), "left")
     may = key.isNotNull() & F.coalesce(F.expr("(shiftright(`\x00bits`, cast(`\x00at` & 63 as int)) & 1) = 1"), F.lit(False))
-    return flagged.where(may).select(*df.columns), flagged.where(~may).select(*df.columns)
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return flagged.where(may).select(*own), flagged.where(~may).select(*own)
 
 
 def text_or_empty(name: str = "text") -> Column:
