@@ -1,7 +1,9 @@
 """Recursive strata: semi-naive rounds for sets, improved keys for lattices, and plain rounds for the rest.
 
-Each round is written with checkpoint() in the session's shared folder, so its
-lineage is cut and a lost executor costs no earlier rounds.
+Each round's new rows are written with checkpoint() in the session's shared
+folder, so lineage is cut and a lost executor costs no earlier rounds. What was
+there before isn't written again each time: it is the union of the rounds, made
+one table every few.
 """
 
 from __future__ import annotations
@@ -38,6 +40,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Growing:
+    """A relation that only grows: its rounds' written rows, read as their union and written as one every so many rounds."""
+
+    def __init__(self, first: DataFrame, rounds: int = 8):
+        self.parts, self.rounds = [first], rounds
+
+    def frame(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.union(p)
+        return out
+
+    def add(self, delta: DataFrame) -> None:
+        self.parts.append(delta)
+        if len(self.parts) > self.rounds:
+            whole = self.frame()
+            self.parts = [settled(whole.coalesce(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))))]
+
+
 def changed(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of new that old lacks; null equals null."""
     other = old.toDF(*(f"old_{c}" for c in old.columns))  # names of its own, whatever frames the two share
@@ -66,8 +87,8 @@ def is_doubling(rules: list[Rule], name: str) -> bool:
 
 def close_doubling(base: DataFrame, bound: int) -> DataFrame:
     """The closure of a binary relation in a number of rounds that is the logarithm of the longest path."""
-    total = settled(base.distinct())
-    delta = total
+    held = Growing(settled(base.distinct()))
+    total = delta = held.frame()
     for _ in range(bound):
         a, b = total.select("c0", F.col("c1").alias("m")), delta.select(F.col("c0").alias("n"), "c1")
         d, t = delta.select("c0", F.col("c1").alias("m")), total.select(F.col("c0").alias("n"), "c1")
@@ -76,14 +97,16 @@ def close_doubling(base: DataFrame, bound: int) -> DataFrame:
         delta = settled(changed(made, total))
         if delta.isEmpty():
             return total
-        total = settled(total.union(delta))
+        held.add(delta)
+        total = held.frame()
     log.error("stopped after %d rounds; further rows are dropped", bound)
     return total
 
 
 def close_sets(seed: dict[str, DataFrame], step: Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, DataFrame]], bound: int) -> dict[str, DataFrame]:
     """Semi-naive: step(total, delta) gives each head's rows that need a row of delta."""
-    total = {h: settled(df.distinct()) for h, df in seed.items()}
+    held = {h: Growing(settled(df.distinct())) for h, df in seed.items()}
+    total = {h: g.frame() for h, g in held.items()}
     delta = dict(total)
     for _ in range(bound):
         made = step(total, delta)
@@ -92,7 +115,8 @@ def close_sets(seed: dict[str, DataFrame], step: Callable[[dict[str, DataFrame],
         if not grown:
             return total
         for h in grown:
-            total[h] = settled(total[h].union(delta[h]))
+            held[h].add(delta[h])
+            total[h] = held[h].frame()
     log.error("stopped after %d rounds; further rows are dropped", bound)
     return total
 

@@ -142,12 +142,15 @@ class Maintained:
             for k, p in enumerate(r.body):
                 if isinstance(p, Atom) and not p.negated and p.relation in changed:
                     seed[r.head].append(self.evaluator.rows(i, lambda n, at, k=k: grown[n] if at == k else done[n] if n not in heads else old[n]))
+        held = {h: fixpoint.Growing(df) for h, df in old.items()}
         total = dict(old)
         delta = {h: fixpoint.settled(fixpoint.changed(_union(parts).distinct(), total[h])) if parts else self.evaluator.empty(h) for h, parts in seed.items()}
         for _ in range(self.evaluator.rounds):
             if all(d.isEmpty() for d in delta.values()):
-                return total
-            total = {h: fixpoint.settled(total[h].union(delta[h])) for h in heads}
+                return {h: fixpoint.settled(df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions")))) for h, df in total.items()}
+            for h in heads:
+                held[h].add(delta[h])
+            total = {h: g.frame() for h, g in held.items()}
             made: dict[str, list[DataFrame]] = {h: [] for h in heads}
             for i, r in rules.items():
                 for k, p in enumerate(r.body):
