@@ -1,8 +1,8 @@
 """Exact BM25 top-k by block-max WAND over index segments.
 
-A segment indexes some thousand documents: for each term its postings, for
-each document its terms, and for each frequent term the largest frequency and
-the shortest document in each block of documents. For a query each block is
+A segment indexes some thousand documents: for each term its postings (from
+which a reader makes each document's terms), and for each frequent term the
+largest frequency and the shortest document in each block of documents. For a query each block is
 bounded by what its rare terms' postings there and the frequent terms' maxima
 can add up to; blocks that can't reach the k-th best score so far are skipped,
 and of the others only documents that reach it are scored exactly. Weights come
@@ -34,7 +34,7 @@ LEADING = 64
 QUERIES, QUERY_TERMS, BATCH = 4096, 1_000_000, 64
 #: One segment in so many is searched first.
 FIRST = 8
-_FIELDS = {"docs": "<i8", "sizes": "<i4", "terms": "<u8", "starts": "<i8", "post_doc": "<i4", "post_tf": "<i4", "fwd_starts": "<i8", "fwd_term": "<i4", "fwd_tf": "<i4", "often": "<i4", "most_tf": "<i4", "least_size": "<i4"}
+_FIELDS = {"docs": "<i8", "sizes": "<i4", "terms": "<u8", "starts": "<i8", "post_doc": "<u2", "post_tf": "<i4", "often": "<i4", "most_tf": "<i4", "least_size": "<i4"}
 
 
 def term_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def build(docs: np.ndarray, term_of: np.ndarray, bounds: np.ndarray) -> dict[str
     if len(first):
         most.ravel()[cell[first]] = np.maximum.reduceat(tf[at], first)
         least.ravel()[cell[first]] = np.minimum.reduceat(sizes[d[at]], first)
-    return {"docs": docs, "sizes": sizes, "terms": terms, "starts": starts, "post_doc": d[by_term], "post_tf": tf[by_term], "fwd_starts": np.searchsorted(d, np.arange(len(docs) + 1)), "fwd_term": t, "fwd_tf": tf, "often": often, "most_tf": most.ravel(), "least_size": least.ravel()}
+    return {"docs": docs, "sizes": sizes, "terms": terms, "starts": starts, "post_doc": d[by_term], "post_tf": tf[by_term], "often": often, "most_tf": most.ravel(), "least_size": least.ravel()}
 
 
 @dataclass
@@ -91,6 +91,17 @@ class Block:
     weights: np.ndarray
 
 
+def stored(values: np.ndarray, kind: str) -> bytes:
+    """An array's bytes, compressed, behind their number."""
+    raw = values.astype(kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def loaded(data: pa.Buffer | bytes) -> bytes:
+    data = memoryview(data)
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of all spans, one span after another."""
     ends = np.cumsum(size)
@@ -115,6 +126,10 @@ class Segment:
         """Saturated frequencies, which need the corpus' mean size; those of frequent terms as a dense matrix too."""
         norm = K1 * (1 - B + B * self.sizes / mean)
         self.norm = norm
+        by_doc = np.argsort(self.post_doc, kind="stable")
+        self.fwd_starts = np.concatenate([[0], np.cumsum(np.bincount(self.post_doc, minlength=len(self.docs)))])
+        self.fwd_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))[by_doc]
+        self.fwd_tf = self.post_tf[by_doc]
         self.post_part = self.post_tf * (K1 + 1) / (self.post_tf + norm[self.post_doc])
         top = self.most_tf.astype(np.float64)
         self.block_part = np.where(top > 0, top * (K1 + 1) / (top + K1 * (1 - B + B * self.least_size / mean)), 0.0).astype(np.float32)
@@ -210,7 +225,7 @@ class Segment:
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of at most SEGMENT documents, in binary columns; every row with an id is in one."""
+    """Segments of at most SEGMENT documents, in compressed binary columns; every row with an id is in one."""
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
@@ -226,7 +241,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             ids.clear()
             held.clear()
             head = [pa.array([wave], type=pa.int32()), pa.array([len(made["docs"])]), pa.array([int(made["sizes"].sum())])]
-            return pa.RecordBatch.from_arrays([*head, *(pa.array([made[n].astype(kind).tobytes()], type=pa.binary()) for n, kind in _FIELDS.items())], ["wave", "n", "words", *_FIELDS])
+            return pa.RecordBatch.from_arrays([*head, *(pa.array([stored(made[n], kind)], type=pa.binary()) for n, kind in _FIELDS.items())], ["wave", "n", "words", *_FIELDS])
 
         size = 0
         for batch in slices(batches, 1):
@@ -312,7 +327,7 @@ def _weights(segments: DataFrame, vocabulary: np.ndarray, total: int) -> np.ndar
         for batch in batches:
             for row in batch.to_pylist():
                 s = Segment.__new__(Segment)
-                s.terms, s.starts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["starts"], "<i8")
+                s.terms, s.starts = np.frombuffer(loaded(row["terms"]), "<u8"), np.frombuffer(loaded(row["starts"]), "<i8")
                 at = s.locate(held.value)
                 here = np.flatnonzero(at >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(s.starts[at[here] + 1] - s.starts[at[here]])], ["term", "df"])
@@ -333,7 +348,7 @@ def _hits(segments: DataFrame, block: Block, number: int, mean: float, k: int, l
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
             for r in range(batch.num_rows):
-                s = Segment({n: batch.column(n)[r].as_buffer() for n in _FIELDS})
+                s = Segment({n: loaded(batch.column(n)[r].as_buffer()) for n in _FIELDS})
                 s.prepare(mean)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 s.search_block(asked, k, floor, out)
