@@ -13,6 +13,7 @@ all that the driver sees is the length histogram.
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -29,8 +30,12 @@ from .textbytes import slices
 from .tokens import library_coder, worker_coder
 
 
+log = logging.getLogger("lumenlog")
+
 #: A plan this close to the bound is good enough, if it needs more whole sequences; a pattern improves if it is worth more than one sequence by more than this.
 GAP, IMPROVES = 5e-5, 1e-7
+#: Pricing has settled when so many rounds together save less than this share of the sequences.
+SETTLED_ROUNDS, SETTLED = 20, 1e-5
 
 
 def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
@@ -117,9 +122,11 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = GAP, r
     and a bound on every plan (Farley's). It is asked at prices in proportion to
     length first, then at the basis' prices, smoothed towards the best bound's;
     patterns that improve are pivoted in. Ends when none does, when the plan
-    needs no more whole sequences than the bound, or when it is within gap of
-    it; after so many rounds of pricing only if rounds is given. Every basis on
-    the way is a valid plan. Returns the plan, and its value over the bound.
+    needs no more whole sequences than the bound or is within gap of it, or when
+    pricing has settled: SETTLED_ROUNDS rounds saved less than a share SETTLED;
+    after so many rounds of pricing only if rounds is given. Every basis on the
+    way is a valid plan. Returns the plan, and its value over the bound, which
+    is logged too.
     """
     if not demand:
         return [], 1.0
@@ -128,6 +135,7 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = GAP, r
     # Demands a little apart: then no two patterns run out at once, every pivot improves, and pivots end.
     basis = Basis(lengths, wanted * (1 + 1e-9 * np.random.default_rng(5).random(len(wanted))), capacity)
     bound, centre, done = 0.0, lengths / capacity, 0
+    values = [float(basis.x.sum())]
     while True:
         entered = 0
         for share in (0.5, 0.0) if done else (1.0,):
@@ -145,9 +153,12 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = GAP, r
             if entered:
                 break
         value = float(basis.x.sum())
+        values.append(value)
         done += 1
-        if value <= max(bound * (1 + gap), math.ceil(bound - 1e-6) if gap else 0) or (not entered and done > 1) or done == rounds:
+        settled = gap and done > SETTLED_ROUNDS and values[-1 - SETTLED_ROUNDS] - value < SETTLED * value
+        if settled or value <= max(bound * (1 + gap), math.ceil(bound - 1e-6) if gap else 0) or (not entered and done > 1) or done == rounds:
             break
+    log.info("packing: %.2f sequences planned, at least %.2f needed, by %d rounds of pricing", value, bound, done)
     return [({int(lengths[i]): n for i, n in p.items()}, float(v)) for p, v in zip(basis.columns, basis.x, strict=True)], value / bound
 
 
