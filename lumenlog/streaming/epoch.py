@@ -3,8 +3,9 @@
 Input states and results are written every epoch (checkpoint in the shared
 folder), so neither lineage nor history grows. A relation is computed again only
 if something that it reads, at any distance, changed: a plain one for the groups
-or rows that changed rows take part in, a recursive stratum of sets whose inputs
-only grew from its old fixpoint. An epoch counts as sealed when all of it is done;
+or rows that changed rows take part in, a recursive stratum of sets from its old
+fixpoint, by deleting what rests on rows that went and deriving it anew where it
+still follows. An epoch counts as sealed when all of it is done;
 save() and restore() carry a sealed epoch over to another driver.
 """
 
@@ -60,12 +61,12 @@ class Maintained:
         with self.lock:
             if epoch is not None and epoch <= self.epoch:
                 return set()
-            state, grown, dirty = dict(self.state), {}, {}
+            state, dirty = dict(self.state), {}
             for name, change in changes.items():
                 if name not in state:
                     raise ValueError(f"{name} isn't an input")
                 new = fixpoint.settled(applied(state[name], self.counted(name, change)))
-                self.noted(name, present(new), present(state[name]), dirty, grown)
+                self.noted(name, present(new), present(state[name]), dirty)
                 state[name] = new
             first = not self.frames
             names = {*self.program.decls, *(a.relation for r in self.program.rules for a in r.atoms)}
@@ -77,12 +78,12 @@ class Maintained:
                     continue
                 new = None
                 if not first:
-                    new = self.resumed(s, done, {h: old[h] for h in s.heads}, grown, reads & set(dirty)) if s.recursive else self.adjusted(s, old, done, dirty)
+                    new = self.resumed(s, old, done, dirty, reads & set(dirty)) if s.recursive else self.adjusted(s, old, done, dirty)
                 if new is None:
                     new = self.evaluator.recursive(s, done) if s.recursive else self.evaluator.plain(s, done)
                     new = {h: fixpoint.settled(df) for h, df in new.items()} if not s.recursive else new
                 for h, df in new.items():
-                    self.noted(h, df, old[h], dirty, grown)
+                    self.noted(h, df, old[h], dirty)
                 done |= new
             # Only now: an epoch that fails leaves all as it was, and can be played again.
             self.epoch, self.state, self.frames = self.epoch + 1 if epoch is None else epoch, state, done
@@ -92,13 +93,11 @@ class Maintained:
             return set(dirty)
 
     @staticmethod
-    def noted(name: str, new: DataFrame, old: DataFrame, dirty: dict[str, DataFrame], grown: dict[str, DataFrame]) -> None:
-        """Enter a relation that changed with its difference, and with its new rows if none went."""
+    def noted(name: str, new: DataFrame, old: DataFrame, dirty: dict[str, DataFrame]) -> None:
+        """Enter a relation that changed with its difference."""
         delta = fixpoint.settled(difference(new, old))
         if not delta.isEmpty():
             dirty[name] = delta
-            if delta.where(F.col(DIFF) < 0).isEmpty():
-                grown[name] = delta.drop(DIFF)
 
     def adjusted(self, s, old: dict[str, DataFrame], done: dict[str, DataFrame], dirty: dict[str, DataFrame]) -> dict[str, DataFrame] | None:
         """A plain relation computed again for the keys only that a changed row takes part in; the rest of it stays.
@@ -129,35 +128,63 @@ class Maintained:
         fresh = self.evaluator.folded(name, _union(again))
         return {name: fixpoint.settled(positional(old[name]).join(mark, same, "left_anti").union(positional(fresh)))}
 
-    def resumed(self, s, done, old, grown, changed) -> dict[str, DataFrame] | None:
-        """Semi-naive from the old fixpoint, if the stratum is of sets and what changed only grew and isn't negated; else None."""
+    def resumed(self, s, old: dict[str, DataFrame], done: dict[str, DataFrame], dirty: dict[str, DataFrame], changed: set[str]) -> dict[str, DataFrame] | None:
+        """A recursive stratum of sets, from its old fixpoint: what rests on rows that went is taken out, put back as far as it follows from the rest, and rows that came are followed up.
+
+        None if a head folds or is an input, or a negated relation changed.
+        """
         rules = {i: self.program.rules[i] for i in s.rules}
         heads = set(s.heads)
-        if any(self.evaluator.fold_of(h) for h in heads) or not changed <= set(grown) or any(h in self.program.inputs for h in heads):
+        if any(self.evaluator.fold_of(h) for h in heads) or any(h in self.program.inputs for h in heads):
             return None
         if any(n.relation in changed for r in rules.values() for n in r.negative):
             return None
-        seed: dict[str, list[DataFrame]] = {h: [] for h in heads}
-        for i, r in rules.items():
-            for k, p in enumerate(r.body):
-                if isinstance(p, Atom) and not p.negated and p.relation in changed:
-                    seed[r.head].append(self.evaluator.rows(i, lambda n, at, k=k: grown[n] if at == k else done[n] if n not in heads else old[n]))
-        held = {h: fixpoint.Growing(df) for h, df in old.items()}
-        total = dict(old)
-        delta = {h: fixpoint.settled(fixpoint.changed(_union(parts).distinct(), total[h])) if parts else self.evaluator.empty(h) for h, parts in seed.items()}
-        for _ in range(self.evaluator.rounds):
-            if all(d.isEmpty() for d in delta.values()):
-                return {h: fixpoint.settled(df.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions")))) for h, df in total.items()}
-            for h in heads:
-                held[h].add(delta[h])
-            total = {h: g.frame() for h, g in held.items()}
-            made: dict[str, list[DataFrame]] = {h: [] for h in heads}
+
+        def through(moved: dict[str, DataFrame], at_heads: dict[str, DataFrame], others: dict[str, DataFrame]) -> dict[str, list[DataFrame]]:
+            """Each head's rows that need one of the moved rows."""
+            out: dict[str, list[DataFrame]] = {h: [] for h in heads}
             for i, r in rules.items():
                 for k, p in enumerate(r.body):
-                    if isinstance(p, Atom) and p.relation in heads:
-                        made[r.head].append(self.evaluator.rows(i, lambda n, at, k=k: delta[n] if at == k else total[n] if n in heads else done[n]))
-            delta = {h: fixpoint.settled(fixpoint.changed(_union(parts).distinct(), total[h])) for h, parts in made.items()}
-        return total
+                    if isinstance(p, Atom) and not p.negated and p.relation in moved:
+                        out[r.head].append(self.evaluator.rows(i, lambda n, at, k=k: moved[n] if at == k else at_heads[n] if n in heads else others[n]))
+            return out
+
+        def fresh(made: dict[str, list[DataFrame]], known: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            new = {h: fixpoint.settled(fixpoint.changed(_union(parts).distinct(), known[h])) for h, parts in made.items() if parts}
+            return {h: df for h, df in new.items() if not df.isEmpty()}
+
+        before = {h: old[h] for h in heads}
+        went = {n: dirty[n].where(F.col(DIFF) < 0).drop(DIFF) for n in changed}
+        came = {n: dirty[n].where(F.col(DIFF) > 0).drop(DIFF) for n in changed}
+        kept, seeds = before, {h: [] for h in heads}
+        gone = {h: fixpoint.Growing(self.evaluator.empty(h)) for h in heads}
+        wave = fresh(through({n: df for n, df in went.items() if not df.isEmpty()}, before, old), {h: g.frame() for h, g in gone.items()})
+        while wave:
+            for h, df in wave.items():
+                gone[h].add(df)
+            wave = fresh(through(wave, before, old), {h: g.frame() for h, g in gone.items()})
+        out = {h: g.frame() for h, g in gone.items() if len(g.parts) > 1 or not g.frame().isEmpty()}
+        if out:
+            kept = {h: fixpoint.settled(fixpoint.changed(df, out[h])) if h in out else df for h, df in before.items()}
+            for i, r in rules.items():
+                if r.head in out:
+                    mark = out[r.head].toDF(*(f"k{k}" for k in range(len(out[r.head].columns))))
+                    same = F.lit(True)
+                    for k in range(len(mark.columns)):
+                        same = same & F.col(f"c{k}").eqNullSafe(F.col(f"k{k}"))
+                    seeds[r.head].append(positional(self.evaluator.rows(i, lambda n, _: kept[n] if n in heads else done[n])).join(mark, same, "left_semi"))
+        for h, parts in through(came, kept, done).items():
+            seeds[h] += parts
+        held = {h: fixpoint.Growing(df) for h, df in kept.items()}
+        delta = fresh(seeds, kept)
+        for _ in range(self.evaluator.rounds):
+            if not delta:
+                break
+            for h, df in delta.items():
+                held[h].add(df)
+            total = {h: g.frame() for h, g in held.items()}
+            delta = fresh(through(delta, total, done), total)
+        return {h: fixpoint.settled(g.frame().coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions")))) for h, g in held.items()}
 
     def relation(self, name: str) -> DataFrame:
         with self.lock:

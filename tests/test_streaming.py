@@ -203,3 +203,30 @@ j(K, V, W) :- a(K, V), b(K, W).
         done = Evaluator(spark, typed, 100).run(alive)
         for name in ("s", "m", "j"):
             assert sorted(tuple(r) for r in kept.relation(name).collect()) == sorted(tuple(r) for r in done[name].collect()), (epoch, name)
+
+
+def test_closures_follow_deletions_from_their_old_fixpoint(spark, monkeypatch):
+    text = """.in
+.decl e(x: number, y: number)
+.decl s(x: number)
+.out
+.decl a(x: number)
+.decl b(x: number)
+.rule
+a(X) :- s(X).
+b(Y) :- a(X), e(X, Y).
+a(Y) :- b(X), e(X, Y).
+"""
+    typed = check(load_text(text))
+    kept = Maintained(spark, typed, 100)
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (4, 2), (5, 6)]
+    kept.advance({"e": changes(spark, [(*x, 1) for x in edges]), "s": spark.createDataFrame([(0,)], "x long")})
+    monkeypatch.setattr(kept.evaluator, "recursive", lambda *a: 1 / 0)  # never from nothing again
+    for moved in ([(1, 2, -1), (4, 5, 1)], [(4, 2, -1), (0, 1, -1)], [(0, 2, 1)]):
+        kept.advance({"e": changes(spark, moved)})
+        edges = [x for x in edges if (*x, -1) not in moved] + [(x, y) for x, y, d in moved if d > 0]
+        even, odd, size = {0}, set(), -1
+        while size != (size := len(even) + len(odd)):
+            odd |= {y for x, y in edges if x in even}
+            even |= {y for x, y in edges if x in odd}
+        assert {r.x for r in kept.relation("a").collect()} == even and {r.x for r in kept.relation("b").collect()} == odd
