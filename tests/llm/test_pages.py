@@ -1,8 +1,10 @@
 """Pages: extraction, archives and URL rules."""
 
 import hashlib
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from lumenlog.llm import html_extract, queries, url_filter, warc
@@ -184,3 +186,29 @@ def test_quotes_in_unquoted_values_and_many_siblings(model):
     assert html_extract.main_text(many, model).count("some words of it") == 100_000
     cut = html_extract.main_text("<html><body><article><p>A text that is long enough to be kept, and goes on.</p><p class=" + 'a="b" ' * 20_000, model)
     assert cut.startswith("A text that")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_decoding_equals_trying_every_choice(seed):
+    rng = random.Random(seed)
+    nodes = [html_extract.Node("div", chars=rng.randint(0, 40))]
+    for _ in range(rng.randint(0, 6)):
+        parent = rng.choice(nodes)
+        child = html_extract.Node("p", parent=parent, chars=rng.randint(0, 40))
+        parent.parts.append(child)
+        nodes.append(child)
+    nodes = html_extract.nodes_of(nodes[0])
+    odds = np.array([rng.uniform(-4, 4) for _ in nodes])
+    gain = np.clip(odds, -6, 6) * np.log1p([n.chars for n in nodes])
+    up = [next((j for j, p in enumerate(nodes) if p is n.parent), -1) for n in nodes]
+    values = {}  # what is taken -> the most that it is worth
+    for choice in itertools.product("nwo", repeat=len(nodes)):
+        if any(up[i] >= 0 and choice[up[i]] != "o" and choice[i] != choice[up[i]] for i in range(len(nodes))):
+            continue  # below what is taken or left out whole, all is
+        if any(c == "o" and i not in up for i, c in enumerate(choice)):
+            continue  # a leaf has no parts
+        taken = tuple(c == "w" or c == "o" and g > 0 for c, g in zip(choice, gain, strict=True))
+        worth = gain[list(taken)].sum() - 0.5 * choice.count("o")
+        values[taken] = max(values.get(taken, -np.inf), worth)
+    got = tuple(bool(t) for t in html_extract.decode(nodes, odds))
+    assert values[got] == pytest.approx(max(values.values()))
