@@ -224,6 +224,36 @@ def incremental_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.relation("t")
 
 
+def incremental_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over a join whose two sides change in turn: customers go, orders go, the customers come back."""
+    from pyspark.sql import functions as F
+
+    engine = Engine(spark).load_text(f".in\n.decl orders({TABLES['orders']})\n.decl customer({TABLES['customer']})\n.out\n.decl n(k: number, n: number)\n.rule\nn(K, count(O)) :- orders(O, C, _, _, _, _), customer(C, _, K, _, _).\n")
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    engine.bind("orders", orders)
+    engine.bind("customer", customer)
+    kept = engine.run()
+    some = customer.where("c_mktsegment = 'BUILDING'")
+    kept.advance({"customer": some.withColumn("__diff", F.lit(-1))})
+    kept.advance({"orders": orders.where("o_orderstatus = 'F'").withColumn("__diff", F.lit(-1))})
+    kept.advance({"customer": some.withColumn("__diff", F.lit(1))})
+    return kept.relation("n")
+
+
+def incremental_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who can be reached by turns of a conversation, after some turns went and others came back."""
+    from pyspark.sql import functions as F
+
+    program = ".in\n.decl t(c: number, a: number)\n.out\n.decl r(c: number, a: number)\n.rule\nr(C, A) :- t(C, A), A = 0.\nr(C, A + 1) :- r(C, A), t(C, B), B = A + 1.\n"
+    engine = Engine(spark).load_text(program)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("a")).distinct()
+    engine.bind("t", turns)
+    kept = engine.run()
+    kept.advance({"t": turns.where("a = 1 or a = 3").withColumn("__diff", F.lit(-1))})
+    kept.advance({"t": turns.where("a = 1").withColumn("__diff", F.lit(1))})
+    return kept.relation("r")
+
+
 def _exported(spark: SparkSession, sf_dir: str, table: str, kind: str) -> str:
     """A folder below the shared one with the table's whole rows as text: nulls empty, one line each."""
     import uuid
@@ -279,10 +309,12 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark, sf_dir, PROGRAMS[name][0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in PROGRAMS} | {"incremental_counts": incremental, "incremental_closure": incremental_closure, "csv_rows": csv_rows, "facts_rows": facts_rows, "sql_rows": sql_rows, "live_query": live_query}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in PROGRAMS} | {"incremental_counts": incremental, "incremental_closure": incremental_closure, "incremental_join": incremental_join, "incremental_reach": incremental_reach, "csv_rows": csv_rows, "facts_rows": facts_rows, "sql_rows": sql_rows, "live_query": live_query}
 ORACLE_SQL: dict[str, str] = {n: sql for n, (_, sql) in PROGRAMS.items()} | {
     "incremental_counts": "SELECT event_type AS kind, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, user_id FROM events) WHERE event_id % 3 <> 0 OR event_id % 6 = 0 GROUP BY 1",
     "incremental_closure": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS a, (n_nationkey * 2 % 25)::BIGINT AS b FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, n_nationkey * 3 % 25 FROM nation), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t",
+    "incremental_join": "SELECT c_nationkey::BIGINT AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY 1",
+    "incremental_reach": "WITH RECURSIVE t AS (SELECT DISTINCT conv_id::BIGINT AS c, turn::BIGINT AS a FROM conversations WHERE turn <> 3), r AS (SELECT c, a FROM t WHERE a = 0 UNION SELECT t.c, t.a FROM r JOIN t ON t.c = r.c AND t.a = r.a + 1) SELECT c, a FROM r",
     "csv_rows": "SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer WHERE c_acctbal > 0",
     "facts_rows": "SELECT s_suppkey AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "sql_rows": "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1",
