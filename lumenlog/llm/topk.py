@@ -135,10 +135,11 @@ class Segment:
         self.block_part = np.where(top > 0, top * (K1 + 1) / (top + K1 * (1 - B + B * self.least_size / mean)), 0.0).astype(np.float32)
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[self.often] = np.arange(len(self.often))
-        self.dense = np.zeros((len(self.often), self.blocks * BLOCK), dtype=np.float32)
-        for k, term in enumerate(self.often):
-            a, b = self.starts[term], self.starts[term + 1]
-            self.dense[k, self.post_doc[a:b]] = self.post_part[a:b]
+        size = self.starts[self.often + 1] - self.starts[self.often]
+        at = _spans(self.starts[self.often], size)
+        doc = self.post_doc[at].astype(np.int64)
+        self.dense = np.zeros((self.blocks, len(self.often), BLOCK), dtype=np.float32)
+        self.dense[doc // BLOCK, np.repeat(np.arange(len(self.often)), size), doc % BLOCK] = self.post_part[at]
         self.weight = np.zeros(len(self.terms))
         #: Sums of so many single-precision products are off by this share at most.
         self.slack = (len(self.often) + 16) * 2.0**-22
@@ -197,7 +198,7 @@ class Segment:
                     some = np.flatnonzero(want)
                     if not len(some):
                         continue
-                    about = dense[some] @ self.dense[:, block * BLOCK : (block + 1) * BLOCK] + own[some, block]
+                    about = dense[some] @ self.dense[block] + own[some, block]
                     both = np.concatenate([best[some], about], axis=1)
                     best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
                     floor[some] = np.maximum(floor[some], best[some].min(axis=1) * down)
