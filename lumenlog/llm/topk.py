@@ -4,7 +4,7 @@ A segment indexes some thousand documents: for each term its postings (from
 which a reader makes each document's terms), and for each frequent term the
 largest frequency and the shortest document in each block of documents. For a query each block is
 bounded by what its rare terms' postings there and the frequent terms' maxima
-can add up to; blocks that can't reach the k-th best score so far are skipped,
+can add up to; bands of blocks that can't reach the k-th best score so far are skipped,
 and of the others only documents that reach it are scored exactly. Weights come
 from the whole corpus, so segments' results merge exactly. An eighth of the
 segments is searched first; its k-th best scores start the pruning of the rest.
@@ -26,12 +26,14 @@ from .common import drop, need, scratch, text_or_empty
 from .textbytes import LOWER, release, slices, span_hashes, text_bytes, words
 
 K1, B = 1.2, 0.75
-#: A segment has at most so many documents and, unless one has more, words; a block so many documents. Terms in a larger share of a segment's documents than one in RARE are frequent.
-SEGMENT, WORDS, BLOCK, RARE = 4096, 2_000_000, 64, 48
+#: A segment has at most so many documents and, unless one has more, words; a block so many documents, a band so many blocks. Terms in a larger share of a segment's documents than one in RARE are frequent.
+SEGMENT, WORDS, BLOCK, BAND, RARE = 4096, 2_000_000, 64, 8, 48
 #: Frequent terms by which documents are put in order.
 LEADING = 64
-#: Queries are searched in blocks of at most so many, of at most so many terms unless one has more; in a segment, so many at a time.
-QUERIES, QUERY_TERMS, BATCH = 4096, 1_000_000, 64
+#: Queries are searched in blocks of at most so many, of at most so many terms unless one has more; in a segment, so many at a time, their rare terms so many.
+QUERIES, QUERY_TERMS, BATCH, TURN = 8192, 2_000_000, 512, 32
+#: No score is less, but for that of documents without any term.
+LEAST = 1e-30
 #: One segment in so many is searched first.
 FIRST = 8
 _FIELDS = {"docs": "<i8", "sizes": "<i4", "terms": "<u8", "starts": "<i8", "post_doc": "<u2", "post_tf": "<i4", "often": "<i4", "most_tf": "<i4", "least_size": "<i4"}
@@ -123,7 +125,7 @@ class Segment:
         return np.where(self.terms[at] == terms, at, -1)
 
     def prepare(self, mean: float) -> None:
-        """Saturated frequencies, which need the corpus' mean size; those of frequent terms as a dense matrix too."""
+        """Saturated frequencies, which need the corpus' mean size; those of frequent terms as matrices too, one for each band, of the terms that it has."""
         norm = K1 * (1 - B + B * self.sizes / mean)
         self.norm = norm
         by_doc = np.argsort(self.post_doc, kind="stable")
@@ -138,12 +140,29 @@ class Segment:
         size = self.starts[self.often + 1] - self.starts[self.often]
         at = _spans(self.starts[self.often], size)
         doc = self.post_doc[at].astype(np.int64)
-        self.dense = np.zeros((self.blocks, len(self.often), BLOCK), dtype=np.float32)
-        self.dense[doc // BLOCK, np.repeat(np.arange(len(self.often)), size), doc % BLOCK] = self.post_part[at]
+        row, part = np.repeat(np.arange(len(self.often)), size), self.post_part[at]
+        self.bands = []
+        for d0 in range(0, self.blocks * BLOCK, BAND * BLOCK):
+            some = np.flatnonzero((doc >= d0) & (doc < d0 + BAND * BLOCK))
+            rows, place = np.unique(row[some], return_inverse=True)
+            band = np.zeros((len(rows), min(BAND * BLOCK, self.blocks * BLOCK - d0)), dtype=np.float32)
+            band[place, doc[some] - d0] = part[some]
+            self.bands.append((rows, band))
         self.weight = np.zeros(len(self.terms))
         #: Sums of so many single-precision products are off by this share at most.
         self.slack = (len(self.often) + 16) * 2.0**-22
 
+    def rare(self, query: np.ndarray, first: np.ndarray, size: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """What rare terms, with those spans of postings and in the order of their queries, add to each document, for n queries."""
+        own = np.empty((n, self.blocks * BLOCK), dtype=np.float32)
+        for q0 in range(0, n, TURN):
+            here = min(TURN, n - q0)
+            a, b = np.searchsorted(query, [q0, q0 + here])
+            post = _spans(first[a:b], size[a:b])
+            cell = np.repeat((query[a:b] - q0) * own.shape[1], size[a:b]) + self.post_doc[post]
+            own[q0 : q0 + here] = np.bincount(cell, np.repeat(weights[a:b], size[a:b]) * self.post_part[post], minlength=own[q0 : q0 + here].size).reshape(here, -1)
+        return own
+
     def exact(self, docs: np.ndarray) -> np.ndarray:
         """Scores of documents under the weights that are set, added up in the order of terms."""
         first, size = self.fwd_starts[docs], self.fwd_starts[docs + 1] - self.fwd_starts[docs]
@@ -161,49 +180,58 @@ class Segment:
     def search_block(self, asked: Block, k: int, least: np.ndarray, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Add to out (query's place, document's place, score) for each query's k best documents here, of those with a score of least or more, ties by id; raise least to the k-th best.
 
-        Queries are taken some at a time. A block of documents is looked at for
-        those queries whose bound there, of its frequent terms' maxima and its
-        rare terms' own postings, reaches the k-th best score so far: first
-        each query's best block, then the others.
+        Queries are taken some at a time. A band of blocks is looked at for
+        those queries whose bound in one of them, of its frequent terms' maxima
+        and its rare terms' own postings, reaches the k-th best score so far:
+        for queries without one first their best band, then the others.
         """
+        if not len(self.terms):
+            return
         here = self.locate(asked.vocabulary)
+        row = np.where(here >= 0, self.row_of[here], -1)
+        first = self.starts[here]
+        size = np.where((here >= 0) & (row < 0), self.starts[here + 1] - first, 0)
         for q0 in range(0, len(asked.ids), BATCH):
             q1 = min(q0 + BATCH, len(asked.ids))
             n = q1 - q0
             a, b = asked.bounds[q0], asked.bounds[q1]
-            query = np.repeat(np.arange(n), np.diff(asked.bounds[q0 : q1 + 1]))
-            at, w = here[asked.terms[a:b]], asked.weights[a:b]
-            query, at, w = query[at >= 0], at[at >= 0], w[at >= 0]
-            if not len(at):
+            query, term, w = np.repeat(np.arange(n), np.diff(asked.bounds[q0 : q1 + 1])), asked.terms[a:b], asked.weights[a:b]
+            often = np.flatnonzero(row[term] >= 0)
+            rare = np.flatnonzero(size[term])
+            if not len(often) and not len(rare):
                 continue
-            row = self.row_of[at]
-            often = row >= 0
-            dense = np.zeros((n, len(self.often)), dtype=np.float32)
-            dense[query[often], row[often]] = w[often]
-            rare = at[~often]
-            size = self.starts[rare + 1] - self.starts[rare]
-            post = _spans(self.starts[rare], size)
-            cell = np.repeat(query[~often], size) * (self.blocks * BLOCK) + self.post_doc[post]
-            own = np.bincount(cell, np.repeat(w[~often], size) * self.post_part[post], minlength=n * self.blocks * BLOCK).reshape(n, self.blocks, BLOCK)
+            dense = np.zeros((len(self.often), n), dtype=np.float32)
+            dense[row[term[often]], query[often]] = w[often]
+            own = self.rare(query[rare], first[term[rare]], size[term[rare]], w[rare], n)
             up, down = 1 + 2 * self.slack, 1 - 2 * self.slack
-            bound = ((dense @ self.block_part).astype(np.float64) + own.max(axis=2)) * up
+            bound = (dense.T @ self.block_part + own.reshape(n, self.blocks, BLOCK).max(axis=2)).astype(np.float64) * up
+            bound = np.maximum.reduceat(bound, np.arange(0, self.blocks, BAND), axis=1)
             floor = least[q0:q1].copy()
             best = np.zeros((n, k))
-            first = bound.argmax(axis=1)
+            foremost = np.where(floor > 0, -1, bound.argmax(axis=1))
             kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for turn in (True, False):
-                for block in range(self.blocks):
-                    want = bound[:, block] >= np.maximum(floor, 1e-300)
-                    want &= (first == block) if turn else (first != block)
+                for number, (rows, band) in enumerate(self.bands):
+                    want = bound[:, number] >= np.maximum(floor, LEAST)
+                    want &= (foremost == number) if turn else (foremost != number)
                     some = np.flatnonzero(want)
                     if not len(some):
                         continue
-                    about = dense[some] @ self.dense[block] + own[some, block]
+                    d0 = number * BAND * BLOCK
+                    if 2 * len(some) > n:
+                        about = (dense.take(rows, axis=0).T @ band)[some]
+                    else:
+                        about = dense[np.ix_(rows, some)].T @ band
+                    about += own[some, d0 : d0 + band.shape[1]]
+                    better = np.flatnonzero((about >= (np.maximum(floor[some], LEAST) / up).astype(np.float32)[:, None]).any(axis=1))
+                    if not len(better):
+                        continue
+                    some, about = some[better], about[better].astype(np.float64)
                     both = np.concatenate([best[some], about], axis=1)
                     best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
                     floor[some] = np.maximum(floor[some], best[some].min(axis=1) * down)
-                    r, c = np.nonzero(about * up >= np.maximum(floor[some], 1e-300)[:, None])
-                    kept.append((some[r], block * BLOCK + c, about[r, c]))
+                    r, c = np.nonzero(about * up >= np.maximum(floor[some], LEAST)[:, None])
+                    kept.append((some[r], d0 + c, about[r, c]))
             if not kept:
                 continue
             q, doc, about = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -211,11 +239,13 @@ class Segment:
             order = np.argsort(q[good], kind="stable")
             q, doc = q[good][order], doc[good][order]
             cuts = np.searchsorted(q, np.arange(n + 1))
-            terms = np.searchsorted(query, np.arange(n + 1))
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 some = doc[cuts[i] : cuts[i + 1]]
-                mine = at[terms[i] : terms[i + 1]]
-                self.weight[mine] = w[terms[i] : terms[i + 1]]
+                a, b = asked.bounds[q0 + i], asked.bounds[q0 + i + 1]
+                mine = here[asked.terms[a:b]]
+                there = mine >= 0
+                mine = mine[there]
+                self.weight[mine] = asked.weights[a:b][there]
                 score = self.exact(some)
                 self.weight[mine] = 0
                 top = np.lexsort((self.docs[some], -score))[:k]
@@ -289,6 +319,16 @@ def query_blocks(queries: DataFrame) -> Iterator[Block]:
     drop(rows)
 
 
+def alike(block: Block, weights: np.ndarray) -> Block:
+    """The block under its vocabulary's weights, its queries in order of their commonest term, then of length, so that those taken together meet the same documents."""
+    rank = np.empty(len(weights), dtype=np.int64)
+    rank[np.argsort(weights, kind="stable")] = np.arange(len(weights))
+    size = np.diff(block.bounds)
+    order = np.lexsort((size, np.minimum.reduceat(rank[block.terms], block.bounds[:-1])))
+    terms = block.terms[_spans(block.bounds[:-1][order], size[order])]
+    return Block(block.ids[order], np.concatenate([[0], np.cumsum(size[order])]), block.vocabulary, terms, weights[terms])
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score): for each query, the k documents with the largest BM25 score, exactly; ties to the smaller id.
 
@@ -309,7 +349,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     found = spark.createDataFrame([], "query long, query_id long, doc_id long, score double")
     for number, block in enumerate(query_blocks(asked)):
-        block.weights = _weights(segments, block.vocabulary, total)[block.terms]
+        block = alike(block, _weights(segments, block.vocabulary, total))
         first = scratch(_hits(segments.where("wave = 0"), block, number, mean, k, np.zeros(len(block.ids))), "hits")
         least = np.zeros(len(block.ids))
         kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query", "score").toArrow()  # a row for each query of the block

@@ -223,6 +223,36 @@ def test_pruning_drops_nothing_in_dense_segments():
         assert [n for _, n in found] == np.lexsort((np.arange(1500), -every))[:10].tolist()
 
 
+def test_many_queries_at_once_meet_only_bands_with_their_terms():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(30, 90, 2048)
+    tongue = np.repeat(rng.integers(0, 4, 2048), sizes)
+    terms = (rng.zipf(1.2, sizes.sum()).clip(max=3000) + 10_000 * tongue).astype(np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    made = topk.build(np.arange(2048), terms, bounds)
+    s = topk.Segment({k: made[k].astype(kind).tobytes() for k, kind in topk._FIELDS.items()})
+    s.prepare(float(sizes.mean()))
+    assert sum(band.size for _, band in s.bands) < 0.6 * len(s.often) * 2048
+    lists = [np.unique(terms[bounds[i] : bounds[i + 1]]) for i in range(0, 2048, 3)]
+    vocabulary, place = np.unique(np.concatenate(lists), return_inverse=True)
+    weights = rng.random(len(vocabulary)) * 5
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    asked = topk.alike(topk.Block(np.arange(0, 2048, 3), cuts, vocabulary, place.astype(np.int32), np.zeros(0)), weights)
+    assert len(lists) > topk.BATCH and sorted(asked.ids) == list(range(0, 2048, 3))
+    out = []
+    s.search_block(asked, 10, np.zeros(len(asked.ids)), out)
+    found = {int(asked.ids[q[0]]): s.docs[at].tolist() for q, at, _ in out}
+    for i, own in zip(range(0, 2048, 3), lists, strict=True):
+        s.weight[s.locate(own)] = weights[np.searchsorted(vocabulary, own)]
+        every = s.exact(np.arange(2048))
+        s.weight[:] = 0
+        assert found[i] == s.docs[np.lexsort((s.docs, -every))[:10]].tolist()
+    made = topk.build(np.arange(3), np.zeros(0, np.uint64), np.zeros(4, np.int64))
+    empty = topk.Segment({k: made[k].astype(kind).tobytes() for k, kind in topk._FIELDS.items()})
+    empty.prepare(1.0)
+    assert empty.search(lists[0], np.ones(len(lists[0])), 10) == []
+
+
 def test_nearest_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 8)) * rng.uniform(0.2, 3, (3000, 1))
