@@ -4,11 +4,12 @@ Vectors get one more component, so that the nearest by distance have the
 largest inner product. Centroids come from balanced k-means on a bounded
 sample; a graph over them, searched breadth-limited in memory, finds a vector's
 centroids. Every vector is indexed: in its nearest list and, near a boundary,
-in others almost as near. Lists are cut into chunks of a bounded size, so a
-vector that a third of all rows share makes many tasks, not one. A query probes
-the lists within a ratio of its nearest, all chunks of each, exactly. Where the
-table outgrows the centroids that the driver can hold, each list is cut again
-into parts with centroids of their own, so that parts stay as small.
+in others almost as near. Each list is cut into parts by centroids of its own,
+so that parts stay small where the table outgrows the centroids that the driver
+can hold. Parts are dealt in chunks of a bounded size, so a vector that a third
+of all rows share makes many tasks, not one. A query looks into the lists within
+a ratio of its nearest, and probes the nearest of their parts, all chunks of
+each, exactly. Tables of any size take the same way.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import need, scratch
 
 CHUNK, QUERY_BLOCK = 1024, 1024
 REPLICAS, BOUNDARY = 4, 1.12
-#: Lists of more than so many times the wished rows on average are cut again, by centroids from so many of a list's rows at most.
-FINE, PART_SAMPLE = 4, 4096
+#: A list's parts have centroids from about so many of its different vectors at most.
+PART_SAMPLE = 4096
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -104,16 +105,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0)).dropDuplicates()
 
 
-def _refined(posted: DataFrame, asked: DataFrame, lifted, per_list: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    """Postings and probes of lists that are cut again, each into about as many parts as keep them at per_list rows.
+def _parts(posted: DataFrame, asked: DataFrame, lifted, per_list: int, probes: int, least_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Postings and probes of the lists' parts: each list is cut into as many as give them per_list different vectors or more on average, one at least.
 
-    A list's parts have centroids of their own, from the rows of a bounded
-    sample of it; they stay in a table, and meet its rows and the queries that
-    probe it by the list. Of the parts of all its lists a query takes the nearest.
+    A list's parts have centroids of their own, from a bounded sample of its
+    vectors; they stay in a table, and meet its rows and the queries that look
+    into it by the list. Of the parts of all its lists a query takes the
+    nearest, so many, and more until they hold least_rows rows.
     """
-    lowest = Window.partitionBy("list").orderBy(F.xxhash64("vec_id"), "vec_id")
-    counts = posted.groupBy("list").agg(F.count("*").alias("n"))
-    some = posted.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= PART_SAMPLE).join(counts, "list").select("list", "n", "v")
+    different = posted.select("list", F.xxhash64("v").alias("h")).distinct().groupBy("list").agg(F.count("*").alias("n"))
+    some = posted.join(different, "list").where(F.pmod(F.xxhash64("v", F.lit(1)), F.col("n")) < PART_SAMPLE).select("list", "n", "v").dropDuplicates()
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.unique(lifted(np.stack(rows["v"].to_numpy())), axis=0)
@@ -121,45 +122,47 @@ def _refined(posted: DataFrame, asked: DataFrame, lifted, per_list: int, probes:
         return pd.DataFrame({"list": rows["list"].iloc[0], "part": np.arange(len(c)), "c": list(c)})
 
     parts = scratch(some.groupBy("list").applyInPandas(fit, "list long, part int, c array<double>"), "parts")
-    chunks = counts.select("list", F.ceil(F.col("n") / (16 * CHUNK)).cast("int").alias("chunks"))
-
-    def nearest_parts(x: np.ndarray, c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        d = squares(x, c)
-        ids = np.argsort(d, axis=1, kind="stable")[:, :width]
-        return ids, np.take_along_axis(d, ids, 1)
+    chunks = posted.groupBy("list").agg(F.ceil(F.count("*") / (2 * CHUNK)).cast("int").alias("chunks"))
 
     def dealt(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"list": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "v": []})
+        empty = pd.DataFrame({"list": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "v": np.zeros(0, object)})
         if not len(rows) or not len(parts):
             return empty
         parts = parts.sort_values("part")
-        ids, _ = nearest_parts(lifted(np.stack(rows["v"].to_numpy())), np.stack(parts["c"].to_numpy()), 1)
-        return pd.DataFrame({"list": rows["list"].to_numpy() << 20 | ids[:, 0], "vec_id": rows["vec_id"].to_numpy(), "v": rows["v"].to_numpy()})
+        near = squares(lifted(np.stack(rows["v"].to_numpy())), np.stack(parts["c"].to_numpy())).argmin(1)
+        return pd.DataFrame({"list": rows["list"].to_numpy() << 20 | near, "vec_id": rows["vec_id"].to_numpy(), "v": rows["v"].to_numpy()})
 
     keys = ["list", "chunk"]
     left = posted.join(chunks, "list").select("list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), "vec_id", "v")
     right = parts.join(chunks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "c")
     fine = scratch(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(dealt, "list long, vec_id long, v array<double>"), "postings")
+    held = fine.groupBy(F.shiftright("list", 20).alias("list"), F.col("list").bitwiseAND((1 << 20) - 1).cast("int").alias("part")).agg(F.count("*").alias("rows"))
+    parts = scratch(parts.join(held, ["list", "part"]), "parts")  # parts that hold nothing go
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
 
     def choose(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(parts):
-            return pd.DataFrame({"list": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "q": [], "d": np.zeros(0)})
+            return pd.DataFrame({"list": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "q": np.zeros(0, object), "d": np.zeros(0), "rows": np.zeros(0, np.int64)})
         parts = parts.sort_values("part")
         q = np.stack(rows["q"].to_numpy())
-        ids, d = nearest_parts(np.concatenate([q, np.zeros((len(q), 1))], 1), np.stack(parts["c"].to_numpy()), probes)
-        r, j = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"list": rows["list"].to_numpy()[r] << 20 | ids[r, j], "query_id": rows["query_id"].to_numpy()[r], "q": rows["q"].to_numpy()[r], "d": d[r, j]})
+        d = squares(np.concatenate([q, np.zeros((len(q), 1))], 1), np.stack(parts["c"].to_numpy()))
+        order = np.argsort(d, axis=1, kind="stable")
+        size = parts["rows"].to_numpy()[order]
+        r, j = np.nonzero((np.arange(len(parts)) < probes) | (np.cumsum(size, axis=1) - size < least_rows))
+        at = order[r, j]
+        return pd.DataFrame({"list": rows["list"].to_numpy()[r] << 20 | parts["part"].to_numpy()[at], "query_id": rows["query_id"].to_numpy()[r], "q": rows["q"].to_numpy()[r], "d": d[r, at], "rows": size[r, j]})
 
     keys = ["list", "block"]
     left = asked.join(blocks, "list").select("list", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "query_id", "q")
-    right = parts.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "c")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(choose, "list long, query_id long, q array<double>, d double")
+    right = parts.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "c", "rows")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(choose, "list long, query_id long, q array<double>, d double, rows long")
     best = Window.partitionBy("query_id", "q").orderBy("d", "list")
-    return fine, scratch(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= probes).select("list", "query_id", "q"), "probes")
+    met = F.sum("rows").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
+    near = near.withColumn("r", F.row_number().over(best)).withColumn("met", met)
+    return fine, scratch(near.where((F.col("r") <= probes) | (F.col("met") < least_rows)).select("list", "query_id", "q"), "probes")
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, sample: int = 16384, per_list: int = 256, ratio: float = 1.35, least_lists: int = 12, most_lists: int = 48, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, sample: int = 16384, per_list: int = 256, ratio: float = 1.35, least_lists: int = 12, most_lists: int = 48, most_parts: int = 128, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by query_every the k nearest others by inner product, in double precision.
 
     Vectors that are null, zero or not finite, and rows without an id, take no
@@ -167,7 +170,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, sample: int
     smaller id. Rows that agree in id and vector count once; different vectors
     of one id are candidates each, with their best score, and as queries they
     share one answer. The index is fitted on at most sample vectors, those whose
-    ids hash lowest; it holds every row. No rows, no results; with k others or
+    ids hash lowest; it holds every row, and is made and searched in one way at
+    every size. No rows, no results; with k others or
     fewer, all are found. Other columns are not read.
     """
     need(vectors, id_col, vec_col)
@@ -211,13 +215,12 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, sample: int
                 base = np.maximum(d - np.maximum(biggest + (part * part).sum(1) - 2 * np.sqrt(biggest * (part * part).sum(1)), 0)[:, None], 0)
                 met = np.cumsum(np.where(np.isfinite(d), sizes[ids], 0), axis=1) - sizes[ids]
                 place = np.arange(ids.shape[1])
-                keep = np.isfinite(d) & ((place < least_lists) | (base <= ratio**2 * base[:, :1]) & (place < most_lists) | (met < 4 * k))
+                keep = np.isfinite(d) & ((place < least_lists) | (base <= ratio**2 * base[:, :1]) & (place < most_lists) | (met < REPLICAS * (k + 1)))
                 r, j = np.nonzero(keep)
                 yield pd.DataFrame({"list": ids[r, j], "query_id": batch["vec_id"].to_numpy()[a + r], "q": batch["v"].to_numpy()[a + r]})
 
     asked = scratch(rows.where(F.col("vec_id") % query_every == 0).mapInPandas(probe, "list long, query_id long, q array<double>"), "probes")
-    if total > FINE * per_list * len(graph.c):
-        posted, asked = _refined(posted, asked, lifted, per_list, max(least_lists, most_lists // 2))
+    posted, asked = _parts(posted, asked, lifted, per_list, most_parts, REPLICAS * (k + 1))
     held_by = posted.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
     asked_by = asked.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("blocks"))
     shape = scratch(held_by.join(asked_by, "list"), "lists")

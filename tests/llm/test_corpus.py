@@ -327,3 +327,28 @@ def test_nearest_in_lists_that_are_cut_again(spark):
         assert [r for r, _, _ in sorted(found)] == list(range(1, 21)) and all(s == pytest.approx(score[i]) for _, i, s in found)
         hit += len(set(best) & {i for _, i, _ in found})
     assert len(got) == 200 and hit / (20 * len(got)) > 0.9
+
+
+def test_nearest_finds_k_whether_lists_outgrow_the_sample_or_not(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 6))
+    x[900:1100] = x[900]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for sample in (256, 3000):
+        got = {}
+        for r in ann.nearest(table, k=400, query_every=100, sample=sample, per_list=16).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert {q: (len(found), len(set(found)), q in found) for q, found in got.items()} == {q: (400, 400, False) for q in range(0, 3000, 100)}
+
+
+def test_nearest_looks_into_lists_without_rows(spark):
+    x = np.random.default_rng(3).normal(size=(90, 4))
+    posted = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "list long, vec_id long, v array<double>")
+    asked = spark.createDataFrame([(n, i, x[i].tolist()) for i in range(0, 90, 20) for n in (0, 1)], "list long, query_id long, q array<double>")
+    held, probed = ann._parts(posted, asked, lambda v: np.concatenate([v, np.zeros((len(v), 1))], axis=1), 10, 2, 40)
+    rows = {r["list"]: r["count"] for r in held.groupBy("list").count().collect()}
+    assert sum(rows.values()) == 90 and len(rows) > 4 and {n >> 20 for n in rows} == {0}
+    met = {}
+    for r in probed.collect():
+        met[r.query_id] = met.get(r.query_id, 0) + rows[r["list"]]
+    assert set(met) == set(range(0, 90, 20)) and min(met.values()) >= 40
