@@ -72,8 +72,8 @@ def presented(df: DataFrame, decl: Decl) -> DataFrame:
 class Evaluator:
     """Evaluates a checked program's strata over input frames."""
 
-    def __init__(self, spark: SparkSession, typed: Typed, rounds: int = DEFAULT_ROUNDS, bag_arguments: bool = False):
-        self.spark, self.rounds = spark, rounds
+    def __init__(self, spark: SparkSession, typed: Typed, rounds: int = DEFAULT_ROUNDS, bag_arguments: bool = False, bags: Iterable[str] = ()):
+        self.spark, self.rounds, self.bags = spark, rounds, frozenset(bags)
         program = rewrite(typed.program, bag_arguments)
         self.typed = check(program) if program is not typed.program else typed
         self.program, self.kinds = program, self.typed.kinds
@@ -84,6 +84,9 @@ class Evaluator:
         for r in program.rules:
             for a in r.atoms:
                 self.readers[a.relation] = self.readers.get(a.relation, 0) + 1
+        for name in self.bags:
+            if name not in program.heads or name in program.inputs or name in self.readers or self.fold_of(name):
+                raise ValueError(f"{name} can't be a bag: only what rules derive without a fold and no rule reads")
 
     # Frames of relations.
 
@@ -102,10 +105,10 @@ class Evaluator:
 
     def folded(self, name: str, df: DataFrame) -> DataFrame:
         op = self.fold_of(name)
-        return fold(df, op, self.kinds[name][-1]) if op else df.distinct()
+        return fold(df, op, self.kinds[name][-1]) if op else df if name in self.bags else df.distinct()
 
     def is_bag(self, r: Rule) -> bool:
-        return self.fold_of(r.head) in ("sum", "count", "avg")
+        return r.head in self.bags or self.fold_of(r.head) in ("sum", "count", "avg")
 
     def release(self) -> None:
         """Free the relations that run() holds because several rules read them."""
@@ -115,7 +118,7 @@ class Evaluator:
     def rows(self, i: int, lookup) -> DataFrame:
         """Rule i's head rows, not yet a set."""
         r, env = self.program.rules[i], self.typed.envs[i]
-        return self.shaped(r.head, head(r, body(r, lookup, env, self.is_bag(r)), env))
+        return self.shaped(r.head, head(r, body(r, lookup, env, self.is_bag(r), r.head in self.bags), env))
 
     # Evaluation.
 
@@ -151,8 +154,9 @@ class Evaluator:
 
     def plain(self, s: Stratum, done: dict[str, DataFrame]) -> dict[str, DataFrame]:
         (name,) = s.heads
-        # A set's rules may read inputs' rows repeated: columns are pruned and rows made different once, at the head.
-        parts = [self.rows(i, lambda n, _, i=i: done[n] if self.is_bag(self.program.rules[i]) else self.repeating.get(n, done[n])) for i in s.rules]
+        # A set's rules may read inputs' rows repeated: columns are pruned and rows made different once, at the head. A bag's must.
+        as_sets = name not in self.bags and self.fold_of(name) in ("sum", "count", "avg")
+        parts = [self.rows(i, lambda n, _: done[n] if as_sets else self.repeating.get(n, done[n])) for i in s.rules]
         if self.program.decls.get(name) and self.program.decls[name].section == "in":
             parts.append(done[name])
         out = self.folded(name, union(parts))
@@ -251,10 +255,11 @@ class Engine:
     engine.evaluate()["path"] is a DataFrame.
     """
 
-    def __init__(self, spark: SparkSession, rounds: int | None = None, bag_arguments: bool = False):
+    def __init__(self, spark: SparkSession, rounds: int | None = None, bag_arguments: bool = False, bags: Iterable[str] = ()):
+        """bags: derived relations that keep a row for each match, as SQL without DISTINCT does; evaluate() and query() only."""
         from .sources import registry
 
-        self.spark, self.bag_arguments = spark, bag_arguments
+        self.spark, self.bag_arguments, self.bags = spark, bag_arguments, tuple(bags)
         self.rounds = rounds or int(os.environ.get("LUMENLOG_MAX_ROUNDS", DEFAULT_ROUNDS))
         self.providers = registry()
         self.program: Program | None = None
@@ -290,7 +295,7 @@ class Engine:
             if s.provider not in self.providers:
                 raise ProgramError([Finding(f"no provider {s.provider!r}", s.span, f"there are {', '.join(sorted(self.providers))}")], program.texts)
         self.typed = check(program)
-        Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments)
+        Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments, self.bags)
         self.program = program
         return self
 
@@ -321,7 +326,7 @@ class Engine:
     def evaluate(self, inputs: dict[str, DataFrame] | None = None, facts: str | None = None, delimiter: str = ",", wanted: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """All declared relations' frames, under their columns' names."""
         self.release()
-        self.evaluator = ev = Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments)
+        self.evaluator = ev = Evaluator(self.spark, self.typed, self.rounds, self.bag_arguments, self.bags)
         done = ev.run((inputs or {}) | self.inputs(facts, delimiter) if inputs is None else inputs, wanted)
         return {n: named(done[n], d) for n, d in self.program.decls.items()}
 
@@ -346,6 +351,8 @@ class Engine:
         from .streaming.epoch import Maintained
         from .streaming.live import LiveQueries
 
+        if self.bags:
+            raise ValueError("a maintained program's relations are sets")
         self.maintained = Maintained(self.spark, self.typed, self.rounds, self.bag_arguments)
         self.maintained.listeners += listeners
         self.live_queries = LiveQueries(self.maintained)

@@ -64,11 +64,12 @@ def join_order(atoms: Sequence[Atom]) -> list[int]:
     return order
 
 
-def body(rule: Rule, lookup: Lookup, kinds: dict[str, str], bag: bool) -> DataFrame:
+def body(rule: Rule, lookup: Lookup, kinds: dict[str, str], bag: bool, repeats: bool = False) -> DataFrame:
     """The rows of variables that satisfy the body.
 
     Of a bag, a row for each match; of a set, atoms that bind nothing new or
-    nothing needed only filter (left semi joins).
+    nothing needed only filter (left semi joins). Negated atoms make the rows
+    different, unless they may repeat.
     """
     atoms, order = rule.positive, join_order(rule.positive)
     pending, negated = list(rule.comparisons), list(rule.negative)
@@ -89,7 +90,8 @@ def body(rule: Rule, lookup: Lookup, kinds: dict[str, str], bag: bool) -> DataFr
             on = list(dict.fromkeys(variables(n)))
             df = df.join(other, equal(df, other, on) if on else F.lit(True), "left_anti")
             kept = [v for v in df.columns if v in needed_by() | later]
-            df = (df.select(*kept) if kept else df.select(F.lit(1).alias("\x00any"))).distinct()
+            df = df.select(*kept) if kept else df.select(F.lit(1).alias("\x00any"))
+            df = df if repeats else df.distinct()
         return df
 
     for done, i in enumerate(order):

@@ -212,3 +212,25 @@ def test_queries_join_nulls_and_count_recursively_over_whole_tables(spark):
             assert {a for a, _ in got} == {r.p_partkey for r in spark.read.parquet(f"{at}/part.parquet").collect()}
         else:
             assert max(n for _, n in got) > 2  # more than the edges of any node
+
+
+def test_interval_join_keeps_a_row_for_each_match_as_its_sql(spark, tmp_path):
+    orders = "SELECT k AS o_orderkey, k AS o_custkey, 'F' AS o_orderstatus, 1.0 AS o_totalprice, TIMESTAMP '1995-01-01' AS o_orderdate, '1' AS o_orderpriority"
+    con = duckdb.connect()
+    con.execute(f"COPY ({orders} FROM (VALUES (1), (2), (2), (3)) t(k)) TO '{tmp_path}/orders.parquet'")
+    line = "k AS l_orderkey, p AS l_partkey, 1 AS l_suppkey, n AS l_linenumber, 1.0 AS l_quantity, 1.0 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus"
+    rows = "(1, 1, 7, 3), (1, 2, 7, 4), (1, 2, 7, 4), (1, 3, 6, 11), (2, 1, 1, 1), (3, 1, 1, 0), (3, 1, 2, 10), (4, 1, 1, 1)"
+    con.execute(f"COPY (SELECT {line}, TIMESTAMP '1995-01-01' + INTERVAL (d) DAY AS l_shipdate FROM (VALUES {rows}) t(k, p, n, d)) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["interval_join"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.ORACLE_SQL["interval_join"]).fetchall()) == [(1, 7)] * 3 + [(2, 1)] * 2 + [(3, 1), (3, 2)]
+
+
+def test_bags_keep_repeated_rows_under_negation_and_are_refused_where_read(spark):
+    t = frame(spark, [(1, 1), (1, 1), (1, 2), (2, None), (2, 3)])
+    text = ".in\n.decl t(x: number, y: number)\n.out\n.decl q(x: number)\n.rule\nq(X) :- t(X, Y), !t(Y, 3)."
+    assert sorted(r[0] for r in run_program(spark, text, {"t": t}, "q", bags=("q",)).collect()) == [1, 1, 2, 2]
+    for more in ("\nr(X) :- q(X).", "\nq(X) :- q(X), t(X, _)."):
+        with pytest.raises(ValueError, match="can't be a bag"):
+            run_program(spark, text + more, {"t": t}, "q", bags=("q",))
