@@ -16,7 +16,7 @@ from .lang.diagnostics import Finding, ProgramError
 from .lang.loader import load_file, load_text
 from .operators import fixpoint
 from .operators.aggregate import fold
-from .operators.rule import body, head, positional
+from .operators.rule import Join, body, head, once, positional
 from .plans.rewrite import rewrite
 from .plans.strata import Stratum, stratify
 from .plans.typing import ANY, Typed, check
@@ -115,10 +115,10 @@ class Evaluator:
         while self.held:
             self.held.pop().unpersist()
 
-    def rows(self, i: int, lookup) -> DataFrame:
+    def rows(self, i: int, lookup, last: Join | None = None) -> DataFrame:
         """Rule i's head rows, not yet a set."""
         r, env = self.program.rules[i], self.typed.envs[i]
-        return self.shaped(r.head, head(r, body(r, lookup, env, self.is_bag(r), r.head in self.bags), env))
+        return self.shaped(r.head, head(r, body(r, lookup, env, self.is_bag(r), r.head in self.bags, last), env))
 
     # Evaluation.
 
@@ -156,10 +156,20 @@ class Evaluator:
         (name,) = s.heads
         # A set's rules may read inputs' rows repeated: columns are pruned and rows made different once, at the head. A bag's must.
         as_sets = name not in self.bags and self.fold_of(name) in ("sum", "count", "avg")
-        parts = [self.rows(i, lambda n, _: done[n] if as_sets else self.repeating.get(n, done[n])) for i in s.rules]
-        if self.program.decls.get(name) and self.program.decls[name].section == "in":
+        given = self.program.decls.get(name) and self.program.decls[name].section == "in"
+        made: list[DataFrame] = []
+
+        def last(*sides) -> DataFrame | None:
+            out = once(*sides)
+            made.extend([out] if out is not None else [])
+            return out
+
+        # The one rule of a set needn't make a product's rows different where its sides' rows are.
+        alone = len(s.rules) == 1 and not given and not self.fold_of(name) and name not in self.bags
+        parts = [self.rows(i, lambda n, _: done[n] if as_sets else self.repeating.get(n, done[n]), last if alone else None) for i in s.rules]
+        if given:
             parts.append(done[name])
-        out = self.folded(name, union(parts))
+        out = union(parts) if made else self.folded(name, union(parts))
         if self.readers.get(name, 0) > 1:
             self.held.append(out.persist())
         return {name: out}

@@ -4,10 +4,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlog import queries
 from lumenlog.engine import Engine, run_program
+from lumenlog.operators import rule
 
 NUMBERS = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
 
@@ -234,3 +236,32 @@ def test_bags_keep_repeated_rows_under_negation_and_are_refused_where_read(spark
     for more in ("\nr(X) :- q(X).", "\nq(X) :- q(X), t(X, _)."):
         with pytest.raises(ValueError, match="can't be a bag"):
             run_program(spark, text + more, {"t": t}, "q", bags=("q",))
+
+
+def test_a_product_is_neither_made_different_nor_left_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(rule, "PART_ROWS", 3)
+    rows = random.Random(5)
+    some = lambda n, *most: [tuple(None if rows.random() < 0.3 else rows.randrange(m) for m in most) for _ in range(n)]
+    unique = [(i, k) for i, (k,) in enumerate(some(60, 3))]
+    for left, right in ((some(60, 40, 3), unique), (some(60, 9, 3), some(60, 9, 3)), (unique, some(60, 9, 4)), ([(1, 1)] * 9, unique), ([], unique)):
+        tables = {"a": frame(spark, left), "b": frame(spark, right * 2)}
+        pairs = {(x, k, y) for x, k in left for y, m in right if k == m}
+        for text, decl, want in (
+            ("q(X, Y) :- a(X, K), b(Y, K).", "q(x: number, y: number)", {(x, y) for x, _, y in pairs}),
+            ("q(X, K, Y) :- a(X, K), b(Y, K).", "q(x: number, k: number, y: number)", pairs),
+            ("q(Y, 7, X) :- a(X, K), b(Y, K), X < Y.", "q(y: number, s: number, x: number)", {(y, 7, x) for x, _, y in pairs if None not in (x, y) and x < y}),
+            ("q(X + Y) :- a(X, K), b(Y, K).", "q(s: number)", {(None if None in (x, y) else x + y,) for x, _, y in pairs}),
+        ):
+            got = run_program(spark, f".in\n.decl a(x: number, y: number)\n.decl b(x: number, y: number)\n.out\n.decl {decl}\n.rule\n{text}", tables, "q").collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_joins_of_few_keys_move_their_sides_only(spark):
+    at = "/root/testdata/sf0.01"
+    for name in ("null_join_whole", "join4_star"):
+        q = queries.QUERIES[name](spark, at)
+        assert not q._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    hot = spark.range(20_000).selectExpr("id as x", "1L as y")
+    q = run_program(spark, ".in\n.decl a(x: number, y: number)\n.decl b(x: number, y: number)\n.out\n.decl q(x: number, y: number)\n.rule\nq(X, Y) :- a(X, K), b(Y, K).", {"a": hot, "b": hot.limit(5_000)}, "q")
+    tasks = [r["n"] for r in q.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 100_000_000 and max(tasks) < 50_000_000
