@@ -199,6 +199,8 @@ class Evaluator:
         if not any(folds.values()):
             if len(heads) == 1 and not given and fixpoint.is_doubling(list(rules.values()), name := s.heads[0]):
                 return {name: fixpoint.close_doubling(seeds()[name], self.rounds)}
+            if len(heads) == 1 and (walk := fixpoint.walk_of(list(rules.values()), name := s.heads[0], lambda n: self.fold_of(n) is not None)):
+                return {name: fixpoint.close_walk(seeds()[name], held[walk.edge], walk, self.rounds)}
             return fixpoint.close_sets(seeds(), step, self.rounds)
         if self.is_lattice(heads, rules, folds):
             return fixpoint.close_lattice(seeds(), step, self.folded, self.rounds)

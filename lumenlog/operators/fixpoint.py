@@ -11,11 +11,13 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lang.ast import Atom, Rule, Var
+from ..functions.expressions import value
+from ..lang.ast import Atom, Chain, Const, Rule, Var
 
 log = logging.getLogger("lumenlog")
 
@@ -103,6 +105,76 @@ def close_doubling(base: DataFrame, bound: int) -> DataFrame:
     return total
 
 
+@dataclass(frozen=True)
+class Walk:
+    """A step along a function: where the head has the edge's keys, which of those the edge replaces, and what is added to a counter."""
+
+    edge: str
+    keys: tuple[int, ...]
+    moved: frozenset[int]
+    counter: int | None = None
+    step: int = 0
+
+
+def walk_of(rules: list[Rule], name: str, is_function: Callable[[str], bool]) -> Walk | None:
+    """p(K, Y, N + 1) :- p(K, X, N), next(K, X, Y), where next has one Y for each (K, X): then next with next, joined, goes twice as far each round."""
+    steps = [r for r in rules if any(a.relation == name for a in r.atoms)]
+    if len(steps) != 1 or len(steps[0].body) != 2:
+        return None
+    (r,) = steps
+    if not all(isinstance(b, Atom) and not b.negated and all(isinstance(a, Var) for a in b.args) and len(set(b.args)) == len(b.args) for b in r.body):
+        return None
+    own, edge = sorted(r.body, key=lambda b: b.relation != name)
+    if edge.relation == name or not is_function(edge.relation):
+        return None
+    *keys, target = edge.args
+    if not keys or not set(keys) <= set(own.args) or target in own.args:
+        return None
+    moved, counter, step = set(), None, 0
+    for i, (before, after) in enumerate(zip(own.args, r.args, strict=True)):
+        match after:
+            case Var() if after == before:
+                pass
+            case Var() if after == target and before in keys:
+                moved.add(i)
+            case Chain(first, ((("+" | "-") as op, Const(int() as k)),)) if first == before and before not in keys and counter is None and abs(k) < 2**40:
+                counter, step = i, k if op == "+" else -k
+            case _:
+                return None
+    return Walk(edge.relation, tuple(own.args.index(k) for k in keys), frozenset(moved), counter, step) if moved else None
+
+
+def close_walk(seed: DataFrame, edge: DataFrame, walk: Walk, bound: int) -> DataFrame:
+    """What a function leads to from the seed, in a number of rounds that is the logarithm of the longest way: it is joined with itself, and stays one."""
+    width = len(walk.keys)
+    to = [F.col(f"c{width}") if at in walk.moved else F.col(f"c{i}") for i, at in enumerate(walk.keys)]
+    jump = edge.select(*(F.col(f"c{i}").alias(f"s{i}") for i in range(width)), *(c.alias(f"t{i}") for i, c in enumerate(to)))
+
+    def onwards(df: DataFrame, at: list[str]) -> DataFrame:
+        test = F.lit(True)
+        for i, c in enumerate(at):
+            test = test & F.col(c).eqNullSafe(F.col(f"s{i}"))
+        return df.join(jump, test)
+
+    held, far = Growing(settled(seed.distinct())), 1
+    total = held.frame()
+    while far <= bound:
+        made = onwards(total, [f"c{at}" for at in walk.keys])
+        out = [F.col(f"t{walk.keys.index(i)}") if i in walk.keys else F.col(c) for i, c in enumerate(total.columns)]
+        if walk.counter is not None:
+            out[walk.counter] = value(Chain(Var("n"), (("+", Const(far * walk.step)),)), {"n": (F.col(f"c{walk.counter}"), "number")})[0]
+        delta = settled(changed(made.select(*(c.alias(n) for c, n in zip(out, total.columns, strict=True))).distinct(), total))
+        if delta.isEmpty():
+            return total
+        held.add(delta)
+        total = held.frame()
+        first = jump.select(*(F.col(f"s{i}").alias(f"f{i}") for i in range(width)), *(F.col(f"t{i}").alias(f"m{i}") for i in range(width)))
+        jump = settled(onwards(first, [f"m{i}" for i in range(width)]).select(*(F.col(f"f{i}").alias(f"s{i}") for i in range(width)), *(f"t{i}" for i in range(width))))
+        far *= 2
+    log.error("stopped after %d steps; further rows are dropped", far - 1)
+    return total
+
+
 def close_sets(seed: dict[str, DataFrame], step: Callable[[dict[str, DataFrame], dict[str, DataFrame]], dict[str, DataFrame]], bound: int) -> dict[str, DataFrame]:
     """Semi-naive: step(total, delta) gives each head's rows that need a row of delta."""
     held = {h: Growing(settled(df.distinct())) for h, df in seed.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lumenlog import queries
 from lumenlog.engine import Engine, run_program
-from lumenlog.operators import rule
+from lumenlog.operators import fixpoint, rule
 
 NUMBERS = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
 
@@ -281,3 +281,52 @@ def test_null_join_moves_no_more_than_its_table(spark, tmp_path):
         assert written() < 1_000_000
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def walked(seeds, best, step, bound):
+    """A plain evaluator: (key, place, n) and what follows by the function."""
+    out, todo = set(seeds), [(s, 0) for s in seeds]
+    while todo:
+        (k, x, n), far = todo.pop()
+        row = (k, best.get((k, x), 0), None if n is None else n + step)
+        if (k, x) in best and far < bound and row not in out:
+            out.add(row)
+            todo.append((row, far + 1))
+    return out
+
+
+def test_a_walk_along_a_function_takes_few_rounds(spark, monkeypatch):
+    settled, calls = fixpoint.settled, []
+    monkeypatch.setattr(fixpoint, "settled", lambda df: calls.append(1) or settled(df))
+    decl = "c: number, o: number, n: number"
+    rows = random.Random(3)
+    edges = [(c, x, x + 1 + rows.randrange(3)) for c in (1, 2, None) for x in range(100) if c != 2 or x < 9]
+    edges += [(c, x, y + 5) for c, x, y in edges[::4]] + [(3, None, 4), (3, 4, 6)]
+    best = {}
+    for c, x, y in edges:
+        best[c, x] = min(best.get((c, x), y), y)
+    for op, step in (("+", 2), ("-", 3)):
+        seeds = [(1, 0, 1), (1, 50, 7), (2, 0, 1), (None, 3, None), (3, None, 2**40), (9, 9, 9)]
+        tables = {"e": (spark.createDataFrame(edges, "c long, x long, y long"), "c: number, o: number, n: number"), "s": (spark.createDataFrame(seeds, "c long, x long, n long"), decl)}
+        got = ask(spark, f"next(C, X, min(Y)) :- e(C, X, Y).\nq(C, X, N) :- s(C, X, N).\nq(C, Y, N {op} {step}) :- q(C, X, N), next(C, X, Y).", tables, f"q({decl})")
+        assert got == walked(seeds, best, step if op == "+" else -step, 10**6) and len(got) > 60
+    assert len(calls) < 2 * 24  # not one for each of up to 100 steps
+    circle = {"e": frame(spark, [(0, 1), (1, 2), (2, 0), (2, 7), (5, 5)])}
+    text = "next(X, min(Y)) :- e(X, Y).\nq(X) :- e(X, _), X < 1.\nq(Y) :- q(X), next(X, Y)."
+    assert ask(spark, text, circle, "q(x: number)") == {(0,), (1,), (2,)}
+    got = ask(spark, "next(X, min(Y)) :- e(X, Y).\nq(X, 0) :- e(X, _), X < 1.\nq(Y, N + 1) :- q(X, N), next(X, Y).", circle, "q(x: number, n: number)", rounds=10)
+    assert {(n % 3, n) for n in range(11)} <= got <= {(n % 3, n) for n in range(16)}
+
+
+def test_only_steps_along_functions_are_walks():
+    from lumenlog.lang.loader import load_text
+
+    def walk(rules):
+        program = load_text(f".in\n.decl e(a: number, b: number, c: number)\n.out\n.decl q(a: number, b: number, n: number)\n.rule\nq(A, B, 1) :- e(A, B, _).\n{rules}")
+        return fixpoint.walk_of([r for r in program.rules if r.head == "q"], "q", lambda n: n == "f")
+
+    assert walk("q(A, C, N + 1) :- q(A, B, N), f(A, B, C).") == fixpoint.Walk("f", (0, 1), frozenset({1}), 2, 1)
+    assert walk("q(C, B, N) :- f(A, C), q(A, B, N).") == fixpoint.Walk("f", (0,), frozenset({0}))
+    for other in ("q(A, C, N + 1) :- q(A, B, N), e(A, B, C).", "q(A, C, N + 1) :- q(A, B, N), f(A, B, C), N < 3.", "q(A, C, N * 2) :- q(A, B, N), f(A, B, C).", "q(A, C, N + A) :- q(A, B, N), f(A, B, C).",
+                  "q(A, C, N) :- q(A, B, N), f(A, C).", "q(B, C, N) :- q(A, B, N), f(A, B, C).", "q(A, C, 5) :- q(A, B, N), f(A, B, C).", "q(A, C, N) :- q(A, B, N), f(A, B, C).\nq(A, C, N) :- q(B, A, N), f(A, B, C).", "q(A, C, N + 1) :- q(A, B, N), f(A, _, C)."):
+        assert walk(other) is None, other
